@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framesift.llm import group_topn, runs, term_freq, text_form
+from framesift.llm import bpe, group_topn, runs, term_freq, text_form
 from framesift.session import table
 
 
@@ -29,7 +29,11 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return events.where("has_span and n >= 2").select("video_id", "first_id", "last_id")
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode_documents(table(spark, d, "documents"))
+
+
+QUERIES = {"p1_found": p1_found, "p6_ids": p6_ids, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
 
 SQL = {
     "p3_found": """

@@ -123,25 +123,26 @@ def list_terms(xs: Column) -> Column:
     return F.filter(xs, lambda x: x.isNotNull() & (x != ""))
 
 
-def term_counts(records: DataFrame, fields: dict[str, Callable[[Column], Column]], rows: int = 400_000, bits: int = 4) -> DataFrame:
+def term_counts(records: DataFrame, fields: dict[str, Callable[[Column], Column]], held: int = 400_000, bits: int = 4) -> DataFrame:
     """`field`, `term`, `occurrences`, `records`: how often and in how many records each term occurs; a row with term null
     for each field holds in `records` the number of records whose field isn't null. fields: column -> its terms as an array.
 
     Records must be distinct. A record may repeat a term; null fields have no terms; an empty table gives no rows.
     """
     spark = records.sparkSession
-    one = lambda f, x, o, r: F.struct(F.lit(f).alias("field"), x.alias("term"), F.lit(o).alias("occurrences"), F.lit(r).alias("records"))
-    parts = []
-    for f, terms in fields.items():
-        ts = terms(F.col(f))
-        each = F.concat(F.transform(ts, lambda x, f=f: one(f, x, 1, 0)), F.transform(F.array_distinct(ts), lambda x, f=f: one(f, x, 0, 1)), F.array(one(f, F.lit(None).cast("string"), 0, 1)))
-        parts.append(F.when(F.col(f).isNotNull(), each).otherwise(F.expr("cast(array() as array<struct<field:string,term:string,occurrences:int,records:int>>)")))
-    long = records.select(F.explode(F.concat(*parts)).alias("x")).select("x.field", "x.term", F.xxhash64("x.field", "x.term").alias("h"), F.col("x.occurrences").cast("long"), F.col("x.records").cast("long"))
+    kind = "array<struct<field:string,term:string,occurrences:bigint,records:bigint>>"
+
+    def rows(f: str, terms: Column) -> Column:
+        one = lambda x, o, r: F.struct(F.lit(f).alias("field"), x.alias("term"), F.lit(o).cast("long").alias("occurrences"), F.lit(r).cast("long").alias("records"))
+        each = F.concat(F.transform(terms, lambda x: one(x, 1, 0)), F.transform(F.array_distinct(terms), lambda x: one(x, 0, 1)), F.array(one(F.lit(None).cast("string"), 0, 1)))
+        return F.when(F.col(f).isNotNull(), each).otherwise(F.expr(f"cast(array() as {kind})"))
+
+    long = records.select(F.explode(F.concat(*(rows(f, terms(F.col(f))) for f, terms in fields.items()))).alias("x")).select("x.field", "x.term", F.xxhash64("x.field", "x.term").alias("h"), "x.occurrences", "x.records")
     folder = shared_path(spark, "radix")
-    near = long.mapInArrow(count_partition(folder, rows, bits), DDL)
+    near = long.mapInArrow(count_partition(folder, held, bits), DDL)
     # the high bits choose the partition, so that the low ones still split what is in it
     spread = near.repartition(F.shiftrightunsigned("h", 40))
-    return spread.mapInArrow(count_partition(folder, rows, bits), DDL).select("field", "term", "occurrences", "records")
+    return spread.mapInArrow(count_partition(folder, held, bits), DDL).select("field", "term", "occurrences", "records")
 
 
 def mark_terms(counts: DataFrame, common: float = 0.1, rare: int = 3) -> DataFrame:
