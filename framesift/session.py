@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,13 +17,28 @@ def get_spark(app: str = "framesift", master: str | None = None, partitions: int
         b = b.master(master)
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
-    return (
+    spark = (
         b.config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once per context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_framesift_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    with zipfile.ZipFile(to := Path(tempfile.mkdtemp()) / "framesift.zip", "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(to))
+    sc._framesift_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
