@@ -43,11 +43,10 @@ class RadixCounter:
 
         with duckdb.connect(config={"threads": 1, "memory_limit": "400MB"}) as c:
             c.register("t", t)
-            x = c.execute(SUM).arrow()
-            return (x.read_all() if hasattr(x, "read_all") else x).cast(SCHEMA)
+            return c.sql(SUM).to_arrow_table().cast(SCHEMA)
 
     def add(self, b: pa.RecordBatch) -> None:
-        self.held.append(pa.Table.from_batches([b]))
+        self.held.append(pa.Table.from_arrays(b.columns, schema=SCHEMA))
         self.n += b.num_rows
         if self.n > self.rows:
             t = self._sum(pa.concat_tables(self.held))
