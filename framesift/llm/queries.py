@@ -39,7 +39,7 @@ SQL = {
     "p3_found": """
 with k as (select id, any_value(objects) objects, any_value(ocr_text) ocr_text, any_value(asr_text) asr_text, any_value(llm_caption) llm_caption from keyframes where id is not null group by id),
 x as (select 'ocr_text' f, id, ocr_text s from k union all select 'asr_text', id, asr_text from k union all select 'llm_caption', id, llm_caption from k),
-w as (select f, id, unnest(list_transform(string_split(lower(s), ' '), y -> trim(y, '.,;:!?"''()[]'))) t from x where s is not null
+w as (select f, id, unnest(list_transform(string_split(lower(s), ' '), lambda y: trim(y, '.,;:!?"''()[]'))) t from x where s is not null
       union all select 'objects', id, unnest(objects) from k where objects is not null),
 n as (select f, count(*) n from x where s is not null group by f union all select 'objects', count(*) from k where objects is not null),
 c as (select f, t, count(*) o, count(distinct id) r from w where t <> '' group by f, t)
