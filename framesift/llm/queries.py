@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from framesift.llm import bpe, group_topn, runs, term_freq, text_form
+from framesift.llm import bpe, group_topn, neighbors, runs, term_freq, text_form
 from framesift.session import table
 
 
@@ -12,6 +13,12 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return text_form.find_same_reading(table(spark, d, "keyframes"), table(spark, d, "moment_labels"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    k = table(spark, d, "keyframes")
+    found = [neighbors.similar_pairs(k, "id", f"{e}_embedding", 5, 0.9).select(F.lit(e).alias("encoder"), "id_a", "id_b") for e in ("clip", "siglip")]
+    return found[0].unionAll(found[1])
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     texts = ("ocr_text", "asr_text", "llm_caption")
     records = term_freq.distinct_records(table(spark, d, "keyframes"), "id", "objects", *texts)
@@ -33,7 +40,7 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode_documents(table(spark, d, "documents"))
 
 
-QUERIES = {"p1_found": p1_found, "p6_ids": p6_ids, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_ids": p6_ids, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
 
 SQL = {
     "p3_found": """
