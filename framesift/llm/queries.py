@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framesift.llm import bpe, group_topn, leaks, neighbors, runs, term_freq, text_form
+from framesift.llm import bpe, group_topn, leaks, neighbors, residue, runs, term_freq, text_form
 from framesift.session import table
 
 
@@ -44,7 +44,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_ids": p6_ids, "p7_found": p7_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residue_records(table(spark, d, "documents")).select("doc_id")
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
 
 SQL = {
     "p3_found": """
