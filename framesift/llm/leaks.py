@@ -75,11 +75,16 @@ def signs(keys: list[str]) -> np.ndarray:
     return bits.astype(np.int16) * 2 - 1
 
 
-def fingerprints(vectors: np.ndarray, starts: np.ndarray, w: int) -> np.ndarray:
-    """SimHashes of the windows of w words at the starts, from the words' weighted vectors."""
+def sums(vectors: np.ndarray) -> np.ndarray:
+    """Running sums of the words' weighted vectors."""
     total = np.zeros((len(vectors) + 1, BITS), np.int32)
     np.cumsum(vectors, axis=0, out=total[1:])
-    return np.packbits(total[starts + w] - total[starts] > 0, axis=1).view(np.uint64).ravel()
+    return total
+
+
+def fingerprints(total: np.ndarray, starts: np.ndarray, w: int) -> np.ndarray:
+    """SimHashes of the windows of w words at the starts, from the running sums."""
+    return np.packbits(total[starts + w] > total[starts], axis=1).view(np.uint64).ravel()
 
 
 class Index:
@@ -210,9 +215,9 @@ def _block(spark: SparkSession, docs: DataFrame, rows: list, vocabulary: Vocabul
     for n, x in enumerate(ids):
         w = min(least, len(x))
         starts = np.arange(len(x) - w + 1)
-        parts.setdefault(w, []).append((fingerprints(vectors[x], starts, w), np.full(len(starts), n), starts))
-        for s in starts.tolist():  # the two rarest words of a window, so that one may be damaged
-            rare.update(x[s : s + w][np.argsort(counts[x[s : s + w]], kind="stable")[:2]].tolist())
+        parts.setdefault(w, []).append((fingerprints(sums(vectors[x]), starts, w), np.full(len(starts), n), starts))
+        for s in starts.tolist():
+            rare.add(int(x[s : s + w][np.argmin(counts[x[s : s + w]])]))
     is_rare = np.zeros(len(weight), bool)
     is_rare[list(rare)] = True
     is_rare[1:] |= counts[1:] * 1000 < counts[0]
@@ -225,42 +230,55 @@ def _block(spark: SparkSession, docs: DataFrame, rows: list, vocabulary: Vocabul
         known, vectors, weight, is_rare, index, keys, names = shared.value
         reader = Reader(known)
         item_ids = [np.array([known[k] for k in ks]) for ks in keys]
+        def windows(ids: np.ndarray, w: int) -> np.ndarray:
+            """Starts of the windows that hold a rare word."""
+            hits = np.flatnonzero(is_rare[ids])
+            covered = np.zeros(len(ids) + 1, np.int32)
+            np.add.at(covered, np.maximum(hits - w + 1, 0), 1)
+            np.add.at(covered, hits + 1, -1)
+            return np.flatnonzero(np.cumsum(covered)[: max(0, len(ids) - w + 1)])
+
+        def verified(group: list) -> Iterator[tuple]:
+            """(document, item) of the documents (key, words, ids)."""
+            at = np.cumsum([0, *(len(ids) for _, _, ids in group)])
+            total = sums(vectors[np.concatenate([ids for _, _, ids in group])])
+            pairs: list[np.ndarray] = []
+            for w, ix in index.items():
+                each = [windows(ids, w) for _, _, ids in group]
+                doc = np.repeat(np.arange(len(group)), [len(x) for x in each])
+                starts = np.concatenate(each)
+                i, j = ix.near(fingerprints(total, starts + at[doc], w))
+                pairs.append(np.stack([doc[i], ix.item[j], starts[i] - ix.at[j], starts[i], np.full(len(i), w)], 1))
+            found: set[tuple[int, int]] = set()
+            tried: set[tuple[int, int, int]] = set()
+            folded: dict[int, list[str]] = {}
+            for d, n, off, s, w in np.unique(np.concatenate(pairs), axis=0).tolist():
+                if (d, n) in found or (d, n, off) in tried:
+                    continue
+                x, y = group[d][2][s : s + w], item_ids[n][s - off : s - off + w]
+                if weight[y][np.isin(y, x)].sum() < similarity * weight[y].sum():
+                    continue
+                tried.add((d, n, off))
+                if d not in folded:
+                    folded[d] = [fold(x) for x in group[d][1]]
+                if run_length(folded[d], keys[n], s, s - off) >= w:
+                    found.add((d, n))
+            yield from ((group[d][0], names[n]) for d, n in sorted(found))
+
         for b in batches:
-            out_d, out_i = [], []
+            out: list[tuple] = []
+            group: list = []
+            held = 0
             for d, t in zip(b.column(0), b.column(1), strict=True):
                 words, ids = reader.read(t.as_py())
-                hits = np.flatnonzero(is_rare[ids])
-                if not len(hits):
-                    continue
-                folded: list[str] = []
-                found: set[int] = set()
-                for w, ix in index.items():
-                    if len(ids) < w:
-                        continue
-                    covered = np.zeros(len(ids) + 1, np.int32)  # starts of the windows that hold a rare word
-                    np.add.at(covered, np.maximum(hits - w + 1, 0), 1)
-                    np.add.at(covered, hits + 1, -1)
-                    starts = np.flatnonzero(np.cumsum(covered)[: len(ids) - w + 1])
-                    i, j = ix.near(fingerprints(vectors[ids], starts, w))
-                    if not len(i):
-                        continue
-                    s, n, a = starts[i], ix.item[j], ix.at[j]
-                    diagonals = np.unique(np.stack([n, s - a, s], 1), axis=0)
-                    tried: set[tuple[int, int]] = set()
-                    for n, off, s in diagonals.tolist():
-                        if n in found or (n, off) in tried:
-                            continue
-                        x, y = ids[s : s + w], item_ids[n][s - off : s - off + w]
-                        both = weight[y][np.isin(y, x)].sum()
-                        if both < similarity * weight[y].sum():
-                            continue
-                        tried.add((n, off))
-                        if not folded:
-                            folded = [fold(x) for x in words]
-                        if run_length(folded, keys[n], s, s - off) >= w:
-                            found.add(n)
-                out_d += [d.as_py()] * len(found)
-                out_i += [names[n] for n in sorted(found)]
-            yield pa.RecordBatch.from_arrays([pa.array(out_d, b.schema.field(0).type), pa.array(out_i, kind)], names=["doc_id", "item_id"])
+                if is_rare[ids].any():
+                    group.append((d.as_py(), words, ids))
+                    held += len(ids)
+                    if held > 50_000:
+                        out += verified(group)
+                        group, held = [], 0
+            if group:
+                out += verified(group)
+            yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in out], b.schema.field(0).type), pa.array([n for _, n in out], kind)], names=["doc_id", "item_id"])
 
     return docs.mapInArrow(search, f"doc_id {kinds[0]}, item_id {kinds[1]}")
