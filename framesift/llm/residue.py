@@ -10,6 +10,7 @@ Scoring covers all records, whole texts, in one pass without a shuffle.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -178,12 +179,16 @@ def learn(trusted: list[str], others: list[str], rounds: int = 10, least: int =
 
 
 def fit(df: DataFrame, key: str, text: str, trusted: int = 3000, sample: int = 6000) -> Model:
-    """The model learned from bounded samples of the table."""
+    """The model learned from bounded samples of the table.
+
+    A row is in a sample if a hash of its key is low enough. For the trusted records that is so for 25 times as many rows as are wanted, as they are
+    rare; what is found beyond twice their number isn't fetched."""
     some = df.where(F.length(F.trim(text)) > 0)
-    order = F.xxhash64(F.col(key).cast("string"), F.lit(1))
-    sure = [r[0] for r in some.where(F.col(text).rlike(CANDIDATE)).orderBy(order, text).limit(2 * trusted).select(text).collect()]
-    sure = [t for t in sure if (ps := passages(t)) and all(signals(ps))][:trusted]
-    others = [r[0] for r in some.orderBy(order, text).limit(sample).select(text).collect()]
+    n = max(1, some.count())
+    low = lambda rows: F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(1)), F.lit(1_000_003)) < math.ceil(1_000_003 * min(1.0, rows / n))
+    sure = [r[0] for r in some.where(low(25 * trusted) & F.col(text).rlike(CANDIDATE)).select(text).limit(2 * trusted).collect()]
+    sure = [t for t in sorted(sure) if (ps := passages(t)) and all(signals(ps))][:trusted]
+    others = [r[0] for r in some.where(low(sample)).select(text).limit(2 * sample).collect()]
     return learn(sure, others)
 
 
