@@ -27,9 +27,9 @@ PLACEHOLDERS = r"\{\{[^{}]*\}\}|<%[^%]*%>|\$\{[^{}]*\}|\[\[[^\[\]]*\]\]|\{%[^%]*
 # How pages and programs report errors.
 ERRORS = r"^(?:Error )?[45]\d\d[ :]|\"status\": ?[45]\d\d|^Traceback|<noscript>|^<(?:!doctype )?html|^Error [45]\d\d"
 # Usual filler.
-FILLERS = r"(?i)lorem ipsum|\b(?:sample|dummy|placeholder|filler) (?:text|line)|blindtext|platzhaltertext|texte? provisoire|faux texte|texto de (?:ejemplo|relleno|prueba)|văn bản mẫu|nội dung tạm|\binsert (?:\w+ )?(?:subtitle|text|title|caption)s? here|^(?:tbd|tbc|todo)\b|chưa dịch|text to follow|(?:subtitle|translation) (?:goes here|missing)|übersetzung fehlt|sous-titre à venir|traducción pendiente|falta traducir"
+FILLERS = r"(?i)lorem ipsum|\b(?:sample|dummy|placeholder|filler) (?:text|line)|blindtext|platzhaltertext|texte? provisoire|faux texte|texto de (?:ejemplo|relleno|prueba)|văn bản mẫu|nội dung tạm|\binsert (?:\w+ )?(?:subtitle|text|title|caption)s? here|^(?:tbd|tbc|todo)\b|chưa dịch|text to follow|(?:subtitle|translation) (?:goes here|missing)|übersetzung fehlt|sous-titre à venir|traducción pendiente|pendiente de traducir|falta traducir"
 FORMS = {"placeholder": re.compile(PLACEHOLDERS), "error": re.compile(ERRORS, re.M), "filler": re.compile(FILLERS)}
-CANDIDATE = f"(?m){PLACEHOLDERS}|{ERRORS}"
+CANDIDATE = f"(?m){PLACEHOLDERS}|{ERRORS}|(?iu:{FILLERS[4:]})"
 
 _STYLE = re.compile(r"\{\\[^{}\n]{0,80}\}|</?[ibu]>|</?font[^<>\n]{0,80}>")
 _SOUND = re.compile(r"(?<![\[\w])\[[^\[\]]{0,120}\](?!\])|(?<![%\w])\([^()]{0,120}\)|\*[^*]{1,120}\*")
