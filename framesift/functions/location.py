@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from framesift.functions.text import TIMES
@@ -34,6 +35,10 @@ def find_location(text: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
-def location(texts: pd.Series) -> pd.Series:
-    return texts.map(find_location)
+def location(text: Column) -> Column:
+    """find_location over a column; it needs a session, so it is made when it is called."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(find_location)
+
+    return F.pandas_udf(run, "string")(text)

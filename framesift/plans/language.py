@@ -74,7 +74,7 @@ def understand(s: SparkSession, d: str) -> DataFrame:
 
     q = _queries(s, d)
     hits = {n: F.array_join(T.lexicon_scan(F.col("query"), w), ",") for n, w in (("objects", T.OBJECTS), ("actions", T.ACTIONS), ("colors", T.COLORS))}
-    return q.select("label_id", T.query_type(F.col("query")).alias("kind"), location(F.col("query")).alias("location"), T.lexicon_scan(F.col("query"), T.TIMES)[0].alias("time"), F.array_join(T.temporal_order(F.col("query")), " > ").alias("events"), *(c.alias(n) for n, c in hits.items()))
+    return q.select("label_id", T.query_type(F.col("query")).alias("kind"), location(F.col("query")).alias("location"), F.get(T.lexicon_scan(F.col("query"), T.TIMES), F.lit(0)).alias("time"), F.array_join(T.temporal_order(F.col("query")), " > ").alias("events"), *(c.alias(n) for n, c in hits.items()))
 
 
 def _slot(a: str) -> str:
