@@ -50,7 +50,18 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found}
 
+
+def _exact(encoder: str, dim: int) -> str:
+    """All pairs, for the small tables that the SQL check uses."""
+    v = f"{encoder}_embedding"
+    usable = f"{v} is not null and len({v}) = {dim} and not list_bool_or(list_transform({v}, lambda x: isnan(x))) and list_bool_or(list_transform({v}, lambda x: x <> 0))"
+    return f"""select '{encoder}' as encoder, least(a, b) as id_a, greatest(a, b) as id_b from (select a, b, s, row_number() over (partition by a order by s desc, b) r from (
+select x.id a, y.id b, round(list_cosine_similarity(x.v, y.v), 9) s from (select id, any_value({v})::double[] v from keyframes where id is not null and {usable} group by id) x,
+(select id, any_value({v})::double[] v from keyframes where id is not null and {usable} group by id) y where x.id <> y.id)) where r <= 5 and s >= 0.9"""
+
+
 SQL = {
+    "p2_found": f"select distinct * from ({_exact('clip', 64)} union all {_exact('siglip', 48)})",
     "p3_found": """
 with k as (select id, any_value(objects) objects, any_value(ocr_text) ocr_text, any_value(asr_text) asr_text, any_value(llm_caption) llm_caption from keyframes where id is not null group by id),
 x as (select 'ocr_text' f, id, ocr_text s from k union all select 'asr_text', id, asr_text from k union all select 'llm_caption', id, llm_caption from k),
