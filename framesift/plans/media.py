@@ -141,3 +141,18 @@ select user_id, min(ts) as first_ts, count(*) as n from g group by user_id, n"""
 def session_windows(s: SparkSession, d: str) -> DataFrame:
     g = table(s, d, "events").groupBy("user_id", F.session_window("ts", "30 minutes")).agg(F.count("*").alias("n"))
     return g.select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("first_ts"), "n")
+
+
+@query("stream_dedup", _ANCHOR + " select distinct video_id, anchor as id from f")
+def stream_dedup(s: SparkSession, d: str) -> DataFrame:
+    """The collapse as a stream over all that is there; a single file makes a single micro-batch, whose result is the batch's."""
+    from framesift.functions import vectors as V
+    from framesift.session import shared_path
+    from framesift.streaming import ingest
+
+    schema = table(s, d, "keyframes").schema
+    k = s.readStream.schema(schema).parquet(f"{d}/keyframes.parque[t]").where(V.usable(F.col("clip_embedding"), CLIP)).where("id is not null")
+    out = shared_path(s, "stream")
+    q = ingest.collapse_stream(k, "clip_embedding", 0.97).writeStream.format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows")
+    q.awaitTermination()
+    return s.read.schema("video_id string, id string, timestamp double").parquet(f"{out}/rows").select("video_id", "id")
