@@ -28,7 +28,7 @@ for _name, _metric in (("recall_at_k", "recall"), ("hit_at_k", "hit"), ("mrr", "
     query(_name, _RUN + f" select label_id, round({_metric}, 6)::double as {_metric} from m")(lambda s, d, m=_metric: _per(s, d).select("label_id", m))
 
 
-@query("mean_metrics", _RUN + " select round(avg(recall), 6) as recall, round(avg(rr), 6) as rr, round(avg(ap), 6) as ap, round(avg(ndcg), 6) as ndcg from m")
+@query("mean_metrics", _RUN + " select coalesce(round(avg(recall), 6), 0)::double as recall, coalesce(round(avg(rr), 6), 0)::double as rr, coalesce(round(avg(ap), 6), 0)::double as ap, coalesce(round(avg(ndcg), 6), 0)::double as ndcg from m")
 def mean_metrics(s: SparkSession, d: str) -> DataFrame:
     return _per(s, d).agg(*(F.round(F.coalesce(F.avg(m), F.lit(0.0)), 6).alias(m) for m in ("recall", "rr", "ap", "ndcg")))
 
