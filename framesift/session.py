@@ -64,6 +64,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: repartitioned only where it comes in fewer partitions than there are cores, as a table of one small file does."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a path below the shared folder."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
