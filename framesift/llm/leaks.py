@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framesift.llm.subtitles import dialogue, fold, lossy
+from framesift.session import spread
 
 RADIUS = 7
 BITS = 64
@@ -188,7 +189,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     give no case; repeated documents and items give one row. Empty tables give no rows.
     """
     spark = documents.sparkSession
-    docs = documents.where(F.col(doc_id).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    docs = spread(documents.where(F.col(doc_id).isNotNull() & (F.length(text) > 0)).select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")))
     kinds = docs.schema["doc_id"].dataType.simpleString(), items.schema[item_id].dataType.simpleString()
     rows = items.where(F.col(item_id).isNotNull() & F.col(passage).isNotNull()).select(item_id, passage).distinct().orderBy(item_id).collect()
     rows = [(r[0], ws) for r in rows if (ws := _words(r[1]))]

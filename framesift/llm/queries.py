@@ -15,7 +15,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     k = table(spark, d, "keyframes")
-    found = [neighbors.similar_pairs(k, "id", f"{e}_embedding", 5, 0.9).select(F.lit(e).alias("encoder"), "id_a", "id_b") for e in ("clip", "siglip")]
+    found = [neighbors.similar_pairs(k, "id", f"{e}_embedding", 5, 0.9, dim=n).select(F.lit(e).alias("encoder"), "id_a", "id_b") for e, n in (("clip", 64), ("siglip", 48))]
     return found[0].unionAll(found[1])
 
 

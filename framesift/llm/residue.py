@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framesift.llm.subtitles import cues, repair
+from framesift.session import spread
 
 # Forms of unfilled placeholders.
 PLACEHOLDERS = r"\{\{[^{}]*\}\}|<%[^%]*%>|\$\{[^{}]*\}|\[\[[^\[\]]*\]\]|\{%[^%]*%\}|#\{[^{}]*\}|%[A-Z_]{2,}%|\$[A-Z_]{2,}\$|__[A-Z0-9_]{2,}__|@@\w+@@|<<[A-Z ]+>>|\{\d\}|%\(\w+\)s"
@@ -216,4 +217,4 @@ def residue_records(df: DataFrame, key: str = "doc_id", text: str = "text", shar
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), pa.array(counts, pa.int32()), pa.array(hits, pa.int32())], names=[key, "passages", "residue"])
 
     rows = df.where(F.col(key).isNotNull() & (F.length(F.trim(text)) > 0)).select(key, text)
-    return rows.mapInArrow(run, f"`{key}` {kind}, passages int, residue int")
+    return spread(rows).mapInArrow(run, f"`{key}` {kind}, passages int, residue int")
