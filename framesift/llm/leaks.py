@@ -6,8 +6,8 @@ lengths slide by one word. Fingerprints are compared by a multi-index over four
 bit away, so every pair of fingerprints within a Hamming distance of 7 is met. Pairs met are verified by the weighted
 similarity of their words and by the run of consecutive words that agree, as long as it goes.
 
-Only windows are fingerprinted that hold one of the rare words of which every window of every item has one.
-The items are few by nature (`eval_items` has 400 rows at every scale); more are worked off in blocks of `block` items.
+All document windows are fingerprinted but those whose words can't reach the similarity with any item window, which the
+verification would turn down. The items are few by nature (`eval_items` has 400 rows at every scale); more are worked off in blocks of `block` items.
 """
 
 from __future__ import annotations
@@ -156,6 +156,25 @@ def run_length(doc: list[str], item: list[str], i: int, j: int) -> int:
     return best
 
 
+def reach(words: np.ndarray, weight: np.ndarray, similarity: float) -> tuple[np.ndarray, float]:
+    """What a document word can add at most to the weight shared with a window (a row of words), by id; the least weight that is enough for a window."""
+    often = np.zeros(len(weight), np.int64)
+    for y in words:
+        np.maximum.at(often, *np.unique(y, return_counts=True))
+    return often * weight, similarity * weight[words].sum(1).min() - 1e-9
+
+
+def similar(ids: np.ndarray, starts: np.ndarray, words: np.ndarray, j: np.ndarray, weight: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the windows of ids at the starts hold enough of the weight of the item windows words[j]."""
+    ok = np.zeros(len(j), bool)
+    for lo in range(0, len(j), 50_000):
+        y = words[j[lo : lo + 50_000]]
+        x = ids[starts[lo : lo + 50_000, None] + np.arange(y.shape[1])]
+        common = (y[:, :, None] == x[:, None, :]).any(2)
+        ok[lo : lo + 50_000] = (weight[y] * common).sum(1) >= similarity * weight[y].sum(1)
+    return ok
+
+
 def _words(passage: str) -> list[str]:
     return [w for w in passage.split() if fold(w)]
 
@@ -211,54 +230,44 @@ def _block(spark: SparkSession, docs: DataFrame, rows: list, vocabulary: Vocabul
     vectors[1:] = signs(vocabulary.keys) * weight[1:, None]
     keys = [[fold(w) for w in ws] for _, ws in rows]
     ids = [np.array([vocabulary.ids[k] for k in ks]) for ks in keys]
-    rare = set()
     parts: dict[int, list] = {}
     for n, x in enumerate(ids):
         w = min(least, len(x))
         starts = np.arange(len(x) - w + 1)
-        parts.setdefault(w, []).append((fingerprints(sums(vectors[x]), starts, w), np.full(len(starts), n), starts))
-        for s in starts.tolist():
-            rare.add(int(x[s : s + w][np.argmin(counts[x[s : s + w]])]))
-    is_rare = np.zeros(len(weight), bool)
-    is_rare[list(rare)] = True
-    is_rare[1:] |= counts[1:] * 1000 < counts[0]
-    is_rare[0] = False
-    index = {w: Index(*map(np.concatenate, zip(*ps, strict=True))) for w, ps in parts.items()}
+        parts.setdefault(w, []).append((fingerprints(sums(vectors[x]), starts, w), np.full(len(starts), n), starts, x[starts[:, None] + np.arange(w)]))
+    index = {}
+    for w, ps in parts.items():
+        *prints, words = map(np.concatenate, zip(*ps, strict=True))
+        index[w] = Index(*prints), words, *reach(words, weight, similarity)
     kind = pa.int64() if kinds[1] in ("bigint", "int") else pa.string()
-    shared = spark.sparkContext.broadcast((vocabulary.ids, vectors, weight, is_rare, index, keys, [i for i, _ in rows]))
+    shared = spark.sparkContext.broadcast((vocabulary.ids, vectors, weight, index, keys, [i for i, _ in rows]))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, vectors, weight, is_rare, index, keys, names = shared.value
+        known, vectors, weight, index, keys, names = shared.value
         reader = Reader(known)
-        item_ids = [np.array([known[k] for k in ks]) for ks in keys]
-        def windows(ids: np.ndarray, w: int) -> np.ndarray:
-            """Starts of the windows that hold a rare word."""
-            hits = np.flatnonzero(is_rare[ids])
-            covered = np.zeros(len(ids) + 1, np.int32)
-            np.add.at(covered, np.maximum(hits - w + 1, 0), 1)
-            np.add.at(covered, hits + 1, -1)
-            return np.flatnonzero(np.cumsum(covered)[: max(0, len(ids) - w + 1)])
+        shortest = min(index)
 
         def verified(group: list) -> Iterator[tuple]:
             """(document, item) of the documents (key, words, ids)."""
-            at = np.cumsum([0, *(len(ids) for _, _, ids in group)])
-            total = sums(vectors[np.concatenate([ids for _, _, ids in group])])
+            size = [len(ids) for _, _, ids in group]
+            at, doc, ids = np.cumsum([0, *size]), np.repeat(np.arange(len(group)), size), np.concatenate([ids for _, _, ids in group])
+            total = sums(vectors[ids])
             pairs: list[np.ndarray] = []
-            for w, ix in index.items():
-                each = [windows(ids, w) for _, _, ids in group]
-                doc = np.repeat(np.arange(len(group)), [len(x) for x in each])
-                starts = np.concatenate(each)
-                i, j = ix.near(fingerprints(total, starts + at[doc], w))
-                pairs.append(np.stack([doc[i], ix.item[j], starts[i] - ix.at[j], starts[i], np.full(len(i), w)], 1))
+            for w, (ix, words, most, need) in index.items():
+                starts = np.arange(max(0, len(ids) - w + 1))
+                most = np.concatenate([[0], np.cumsum(most[ids])])
+                starts = starts[(doc[starts] == doc[starts + w - 1]) & (most[starts + w] - most[starts] >= need)]
+                i, j = ix.near(fingerprints(total, starts, w))
+                s = starts[i]
+                ok = similar(ids, s, words, j, weight, similarity)
+                s, j = s[ok], j[ok]
+                pairs.append(np.stack([doc[s], ix.item[j], s - at[doc[s]] - ix.at[j], s - at[doc[s]], np.full(len(s), w)], 1))
             found: set[tuple[int, int]] = set()
             tried: set[tuple[int, int, int]] = set()
             folded: dict[int, list[str]] = {}
             for d, n, off, s, w in np.unique(np.concatenate(pairs), axis=0).tolist():
                 if (d, n) in found or (d, n, off) in tried:
                     continue
-                x, y = group[d][2][s : s + w], item_ids[n][s - off : s - off + w]
-                if weight[y][np.isin(y, x)].sum() < similarity * weight[y].sum():
-                    continue
                 tried.add((d, n, off))
                 if d not in folded:
                     folded[d] = [fold(x) for x in group[d][1]]
@@ -272,7 +281,7 @@ def _block(spark: SparkSession, docs: DataFrame, rows: list, vocabulary: Vocabul
             held = 0
             for d, t in zip(b.column(0), b.column(1), strict=True):
                 words, ids = reader.read(t.as_py())
-                if is_rare[ids].any():
+                if len(ids) >= shortest:
                     group.append((d.as_py(), words, ids))
                     held += len(ids)
                     if held > 50_000:

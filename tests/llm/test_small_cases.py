@@ -222,6 +222,15 @@ def test_leaks(spark):
     assert leaks.leaks(d, spark.createDataFrame([], "item_id long, passage string")).collect() == []
 
 
+def test_leak_whose_rarest_word_is_damaged(spark):
+    words = "the boat was late so we all walked home along that marigold".split()
+    assert subtitles.fold("marigqld") not in leaks.Vocabulary(words).ids
+    docs = [(1, words[::-1]), (2, words[::-1]), (3, words[-2::-1]), (4, [*words[:-1], "marigqld"])]  # the rarest word by a little
+    d = spark.createDataFrame([(i, srt([" ".join(ws)])) for i, ws in docs], "doc_id long, text string")
+    items = spark.createDataFrame([(10, " ".join(words))], "item_id long, passage string")
+    assert [tuple(r) for r in leaks.leaks(d, items).collect()] == [(4, 10)]
+
+
 def test_multi_index_meets_all_within_radius():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 300).astype(np.uint64)
