@@ -1,9 +1,9 @@
 """Runs of consecutive events that agree, by associative run summaries.
 
 Events are range-sorted by sequence, time and id, so one long sequence spreads over many chunks. Each chunk encodes its runs
-in one streaming pass and marks those that touch its edges. Summaries of neighbouring chunks combine associatively (the last
-run of the left one joins the first of the right one if they agree); the prefix merge reads two rows per chunk, whatever the
-number of events.
+in one streaming pass and marks those that touch its edges, and which edge. Summaries of neighbouring chunks combine associatively
+(the last run of the left one joins the first of the right one if they agree; first and last of one chunk never join, as others lie
+between or they don't agree); the prefix merge reads two rows per chunk, whatever the number of events.
 """
 
 from __future__ import annotations
@@ -15,8 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = pa.schema([("edge", pa.bool_()), ("seq", pa.string()), ("first_id", pa.string()), ("last_id", pa.string()), ("first_t", pa.float64()), ("last_t", pa.float64()), ("n", pa.int64()), ("a0", pa.float64()), ("a1", pa.float64()), ("z0", pa.float64()), ("z1", pa.float64())])
-DDL = "edge boolean, seq string, first_id string, last_id string, first_t double, last_t double, n bigint, a0 double, a1 double, z0 double, z1 double"
+SCHEMA = pa.schema([("edge", pa.int8()), ("seq", pa.string()), ("first_id", pa.string()), ("last_id", pa.string()), ("first_t", pa.float64()), ("last_t", pa.float64()), ("n", pa.int64()), ("a0", pa.float64()), ("a1", pa.float64()), ("z0", pa.float64()), ("z1", pa.float64())])
+DDL = "edge tinyint, seq string, first_id string, last_id string, first_t double, last_t double, n bigint, a0 double, a1 double, z0 double, z1 double"
+
+BODY, FIRST, LAST, WHOLE = range(4)  # edge: which edges of its chunk a run touches
 
 
 def combine(left: dict, right: dict, tol: float) -> dict | None:
@@ -31,7 +33,7 @@ def _rows(rows: list[dict]) -> pa.RecordBatch:
 
 
 def encode_runs(tol: float):
-    """Of batches sorted by seq, t, id with columns seq, id, t, s0, s1 (NaN: no span): runs; edge marks a chunk's first and last."""
+    """Of batches sorted by seq, t, id with columns seq, id, t, s0, s1 (NaN: no span): runs; edge marks a chunk's first and last, or its only one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_run, first = None, True
@@ -55,7 +57,7 @@ def encode_runs(tol: float):
             start = np.r_[0, np.flatnonzero(~same) + 1]
             end = np.r_[start[1:], len(at)] - 1
             fi, la = pa.array(at[start]), pa.array(at[end])
-            out = pa.RecordBatch.from_arrays([pa.array(np.zeros(len(start), bool)), seq.take(fi), ids.take(fi), ids.take(la), pa.array(tt[start]), pa.array(tt[end]), pa.array(end - start + 1), *(pa.array(x) for x in (s0[start], s1[start], s0[end], s1[end]))], schema=SCHEMA)
+            out = pa.RecordBatch.from_arrays([pa.array(np.full(len(start), BODY, np.int8)), seq.take(fi), ids.take(fi), ids.take(la), pa.array(tt[start]), pa.array(tt[end]), pa.array(end - start + 1), *(pa.array(x) for x in (s0[start], s1[start], s0[end], s1[end]))], schema=SCHEMA)
             head = out.slice(0, 1).to_pylist()[0]
             joined = open_run and combine(open_run, head, tol)
             if joined:
@@ -63,17 +65,17 @@ def encode_runs(tol: float):
                 out = out.slice(1)
             if out.num_rows:
                 if open_run:
-                    yield _rows([open_run | {"edge": first}])
+                    yield _rows([open_run | {"edge": FIRST if first else BODY}])
                     first = False
                 open_run = out.slice(out.num_rows - 1).to_pylist()[0]
                 if out.num_rows > 1:
                     body = out.slice(0, out.num_rows - 1)
                     if first:
-                        yield _rows([body.slice(0, 1).to_pylist()[0] | {"edge": True}])
+                        yield _rows([body.slice(0, 1).to_pylist()[0] | {"edge": FIRST}])
                         first, body = False, body.slice(1)
                     yield body
         if open_run:
-            yield _rows([open_run | {"edge": True}])
+            yield _rows([open_run | {"edge": WHOLE if first else LAST}])
 
     return run
 
@@ -86,7 +88,7 @@ def merge_edges(tol: float):
         for b in batches:
             done = []
             for row in b.to_pylist():
-                joined = held and combine(held, row, tol)
+                joined = held and row["edge"] != LAST and combine(held, row, tol)  # before a LAST is its own chunk's FIRST
                 if held and not joined:
                     done.append(held)
                 held = joined or row
@@ -114,6 +116,6 @@ def collapse(events: DataFrame, seq: str, item: str, time: str, span: str, tol:
     e = e.select(F.col(seq).alias("seq"), F.col(item).alias("id"), F.col(time).alias("t"), end("t_start").alias("s0"), end("t_end").alias("s1"))
     keys = ("seq", "t", "id")
     runs = cut(e.repartitionByRange(n, *keys).sortWithinPartitions(*keys).mapInArrow(encode_runs(tol), DDL))  # run summaries only
-    edges = runs.where("edge").repartition(1).sortWithinPartitions("seq", "first_t", "first_id").mapInArrow(merge_edges(tol), DDL)
-    whole = runs.where("not edge").unionAll(edges)
+    edges = runs.where(F.col("edge") != BODY).repartition(1).sortWithinPartitions("seq", "first_t", "first_id").mapInArrow(merge_edges(tol), DDL)
+    whole = runs.where(F.col("edge") == BODY).unionAll(edges)
     return whole.select(F.col("seq").alias(seq), "first_id", "last_id", "n", F.col("first_t").alias("t_first"), F.col("last_t").alias("t_last"), (F.col("last_t") - F.col("first_t")).alias("duration"), (~F.isnan("a0") & ~F.isnan("a1")).alias("has_span"))

@@ -169,6 +169,14 @@ def test_runs(spark, chunks):
     assert runs.collapse(df.limit(0), "video_id", "id", "timestamp", "cluster_span").collect() == []
 
 
+@pytest.mark.parametrize("chunks", [2, 5, 20])
+def test_runs_of_one_span_broken_within_chunks(spark, chunks):
+    rows = [("v", float(n), f"i{n:04d}", None if n % 7 == 3 else (1.0, 9.0)) for n in range(400)]
+    df = spark.createDataFrame(rows, "video_id string, timestamp double, id string, cluster_span struct<t_start:double,t_end:double>")
+    got = runs.collapse(df, "video_id", "id", "timestamp", "cluster_span", chunks=chunks)
+    assert sorted((r.video_id, r.first_id, r.last_id, r.n) for r in got.collect()) == brute_runs(rows)
+
+
 # --- tokens
 
 
