@@ -55,7 +55,7 @@ def batch_knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, que
     return all_.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query), F.col("id").alias(key), "similarity", "rank")
 
 
-def ivf_knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query: str, query_vector: str, k: int, dim: int, lists: int = 32, probes: int = 12, sample: int = 20_000) -> DataFrame:
+def ivf_knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query: str, query_vector: str, k: int, dim: int, lists: int = 32, probes: int = 22, sample: int = 20_000) -> DataFrame:
     """As batch_knn, but each query meets the rows of its `probes` nearest lists only. The centroids come from a bounded sample."""
     spark = vectors.sparkSession
     seen = vectors.orderBy(F.xxhash64(key)).limit(sample).select(vector).toArrow()
@@ -88,7 +88,7 @@ def ivf_knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select(F.col("q").alias(query), F.col("id").alias(key), "similarity", "rank")
 
 
-def lsh_knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query: str, query_vector: str, k: int, dim: int, tables: int = 16, bits: int = 6, seed: int = 5) -> DataFrame:
+def lsh_knn(vectors: DataFrame, queries: DataFrame, key: str, vector: str, query: str, query_vector: str, k: int, dim: int, tables: int = 24, bits: int = 4, seed: int = 5) -> DataFrame:
     """As batch_knn, but a query meets the rows that share one of its `tables` hashes of `bits` hyperplanes."""
     planes = np.random.default_rng(seed).standard_normal((tables * bits, dim))
     shared = vectors.sparkSession.sparkContext.broadcast(planes)

@@ -33,6 +33,13 @@ def test_same_as_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_recall_of_registered_indexes(spark, size):
+    found = {r.method: r.recall for r in entry.queries()["ann_recall"](spark, str(DATA.parent / size)).collect()}
+    print(found)
+    assert sorted(found) == ["ivf", "lsh"] and min(found.values()) >= 0.9
+
+
 def test_entry(spark):
     assert entry.entry(spark).limit(1).columns == ["label_id", "id", "score", "sources", "rank"]
 
