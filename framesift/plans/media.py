@@ -41,6 +41,22 @@ def temporal_chain_3(s: SparkSession, d: str) -> DataFrame:
     return temporal.event_chains(_events(s, d, "signup", "click", "error"), 4).select("video_id", "id_1", "id_2", "id_3", F.round("total", 6).alias("total"))
 
 
+_ALL = "with e as (select event_id id, user_id video_id, ts t, value score, event_type from events)"
+
+
+@query("temporal_chain_2_exact", _ALL + " select a.video_id, a.id as id_1, b.id as id_2, round(a.score + b.score, 6) as total from e a join e b on a.video_id = b.video_id and a.t < b.t where a.event_type = 'view' and b.event_type = 'purchase'")
+def temporal_chain_2_exact(s: SparkSession, d: str) -> DataFrame:
+    """All chains; temporal_chain_2 has those of the four best events of each kind per user."""
+    return temporal.event_chains(_events(s, d, "view", "purchase")).select("video_id", "id_1", "id_2", F.round("total", 6).alias("total"))
+
+
+@query("temporal_chain_3_exact", _ALL + """ select a.video_id, a.id as id_1, b.id as id_2, x.id as id_3, round(a.score + b.score + x.score, 6) as total from e a join e b on a.video_id = b.video_id and a.t < b.t
+join e x on x.video_id = b.video_id and b.t < x.t where a.event_type = 'signup' and b.event_type = 'click' and x.event_type = 'error'""")
+def temporal_chain_3_exact(s: SparkSession, d: str) -> DataFrame:
+    """All chains; temporal_chain_3 has those of the four best events of each kind per user."""
+    return temporal.event_chains(_events(s, d, "signup", "click", "error")).select("video_id", "id_1", "id_2", "id_3", F.round("total", 6).alias("total"))
+
+
 @query("has_valid_ordering", "with e as (select user_id video_id, min(case event_type when 'view' then ts end) a, max(case event_type when 'purchase' then ts end) b from events group by user_id) select video_id, coalesce(a < b, false) as valid from e")
 def has_valid_ordering(s: SparkSession, d: str) -> DataFrame:
     """A chain of two exists if the first view is before the last purchase."""

@@ -40,6 +40,16 @@ def test_recall_of_registered_indexes(spark, size):
     assert sorted(found) == ["ivf", "lsh"] and min(found.values()) >= 0.9
 
 
+def test_chains_of_more_than_four_events(spark, tmp_path):
+    at = lambda n: __import__("datetime").datetime(2024, 1, 1, 0, n)
+    kinds = [("view", "signup"), ("purchase", "click"), ("error", "error")]
+    rows = [(100 * k + 10 * n + m, 1, at(10 * k + n), float(n), kind) for k, pair in enumerate(kinds) for m, kind in enumerate(dict.fromkeys(pair)) for n in range(6)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, value double, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    for n in (2, 3):
+        assert entry.queries()[f"temporal_chain_{n}_exact"](spark, str(tmp_path)).count() == 6**n
+        assert entry.queries()[f"temporal_chain_{n}"](spark, str(tmp_path)).count() == 4**n
+
+
 def test_entry(spark):
     assert entry.entry(spark).limit(1).columns == ["label_id", "id", "score", "sources", "rank"]
 
