@@ -3,7 +3,8 @@
 Each item is cut into windows as long as a leak must be (`least` words, or the whole item if it is shorter). A window's
 SimHash is the sign of a sum of word vectors, weighted by how rare the words are among all documents. Document windows of the same
 lengths slide by one word. Fingerprints are compared by a multi-index over four blocks of 16 bits, each with all values one
-bit away, so every pair of fingerprints within a Hamming distance of 7 is met. Pairs met are verified by the weighted
+bit away, so every pair of fingerprints within a Hamming distance of 7 is met. As a word that can't be read adds nothing, item windows
+are also kept with any one or two words left out, where that leads beyond this distance. Pairs met are verified by the weighted
 similarity of their words and by the run of consecutive words that agree, as long as it goes.
 
 All document windows are fingerprinted but those whose words can't reach the similarity with any item window, which the
@@ -15,6 +16,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +27,7 @@ from framesift.llm.subtitles import dialogue, fold, lossy
 from framesift.session import spread
 
 RADIUS = 7
+UNREAD = 2
 BITS = 64
 
 
@@ -121,6 +124,36 @@ class Index:
         return np.concatenate(found_i or [np.zeros(0, int)]), np.concatenate(found_j or [np.zeros(0, int)])
 
 
+class Gaps:
+    """Fingerprints of item windows (rows of words) with up to UNREAD words left out, if beyond RADIUS of the whole window's."""
+
+    def __init__(self, words: np.ndarray, whole: np.ndarray, vectors: np.ndarray):
+        total = vectors[words].sum(1, dtype=np.int32)
+        prints, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)]
+        for k in range(1, UNREAD + 1):
+            for gone in combinations(range(words.shape[1]), k):
+                p = np.packbits(total > vectors[words[:, gone]].sum(1, dtype=np.int32), axis=1).view(np.uint64).ravel()
+                far = np.flatnonzero(np.bitwise_count(p ^ whole) > RADIUS)
+                prints.append(p[far])
+                rows.append(far.astype(np.int32))
+        p, r = np.concatenate(prints), np.concatenate(rows)
+        order = np.lexsort((r, p))
+        p, r = p[order], r[order]
+        fresh = np.ones(len(p), bool)
+        fresh[1:] = (p[1:] != p[:-1]) | (r[1:] != r[:-1])
+        self.prints, self.rows = p[fresh], r[fresh]
+        self.some = np.zeros(1 << 22, bool)
+        self.some[self.prints >> np.uint64(42)] = True
+
+    def same(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(i, j): all pairs of given fingerprints and windows that have it with words left out."""
+        i = np.flatnonzero(self.some[prints >> np.uint64(42)])
+        lo = np.searchsorted(self.prints, prints[i])
+        n = np.searchsorted(self.prints, prints[i], "right") - lo
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        return np.repeat(i, n), self.rows[at]
+
+
 def within(a: str, b: str, most: int) -> bool:
     """Whether a and b differ by at most `most` insertions, deletions and replacements; U+FFFD stands for any character."""
     if abs(len(a) - len(b)) > most:
@@ -238,7 +271,7 @@ def _block(spark: SparkSession, docs: DataFrame, rows: list, vocabulary: Vocabul
     index = {}
     for w, ps in parts.items():
         *prints, words = map(np.concatenate, zip(*ps, strict=True))
-        index[w] = Index(*prints), words, *reach(words, weight, similarity)
+        index[w] = Index(*prints), Gaps(words, prints[0], vectors), words, *reach(words, weight, similarity)
     kind = pa.int64() if kinds[1] in ("bigint", "int") else pa.string()
     shared = spark.sparkContext.broadcast((vocabulary.ids, vectors, weight, index, keys, [i for i, _ in rows]))
 
@@ -253,11 +286,12 @@ def _block(spark: SparkSession, docs: DataFrame, rows: list, vocabulary: Vocabul
             at, doc, ids = np.cumsum([0, *size]), np.repeat(np.arange(len(group)), size), np.concatenate([ids for _, _, ids in group])
             total = sums(vectors[ids])
             pairs: list[np.ndarray] = []
-            for w, (ix, words, most, need) in index.items():
+            for w, (ix, gaps, words, most, need) in index.items():
                 starts = np.arange(max(0, len(ids) - w + 1))
                 most = np.concatenate([[0], np.cumsum(most[ids])])
                 starts = starts[(doc[starts] == doc[starts + w - 1]) & (most[starts + w] - most[starts] >= need)]
-                i, j = ix.near(fingerprints(total, starts, w))
+                prints = fingerprints(total, starts, w)
+                i, j = (np.concatenate(x) for x in zip(ix.near(prints), gaps.same(prints), strict=True))
                 s = starts[i]
                 ok = similar(ids, s, words, j, weight, similarity)
                 s, j = s[ok], j[ok]

@@ -239,6 +239,23 @@ def test_leak_whose_rarest_word_is_damaged(spark):
     assert [tuple(r) for r in leaks.leaks(d, items).collect()] == [(4, 10)]
 
 
+@pytest.mark.parametrize("unread", [1, 2])
+def test_leaks_of_twelve_words_some_unread(spark, unread):
+    rng = random.Random(unread)
+    word = lambda: "".join(rng.choice("bdgkmptz") + rng.choice("aeu") for _ in range(5))
+    items = [[word() for _ in range(12)] for _ in range(40)]
+    ids = leaks.Vocabulary([w for ws in items for w in ws]).ids
+    docs = []
+    for n, ws in enumerate(items):
+        ws = list(ws)
+        for k in rng.sample(range(12), unread):
+            ws[k] = ws[k][:4] + "q" + ws[k][5:]
+            assert subtitles.fold(ws[k]) not in ids
+        docs += [(n, srt([" ".join(ws)])), (100 + n, srt([" ".join(reversed(items[n]))]))]
+    got = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(n, " ".join(ws)) for n, ws in enumerate(items)], "item_id long, passage string"))
+    assert sorted(map(tuple, got.collect())) == [(n, n) for n in range(40)]
+
+
 def test_multi_index_meets_all_within_radius():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 300).astype(np.uint64)
