@@ -182,12 +182,15 @@ def learn(trusted: list[str], others: list[str], rounds: int = 10, least: int =
 def fit(df: DataFrame, key: str, text: str, trusted: int = 3000, sample: int = 6000) -> Model:
     """The model learned from bounded samples of the table.
 
-    A row is in a sample if a hash of its key is low enough. For the trusted records that is so for 12 times as many rows as are wanted, as they are
-    rare; what is found beyond twice their number isn't fetched."""
+    Trusted records are looked for in all rows; of those that may be ones, twice as many as are wanted are fetched, lowest hash of the key first.
+    A row is in the sample of others if that hash is low enough."""
     some = df.where(F.length(F.trim(text)) > 0)
     n = max(1, some.count())
-    low = lambda rows: F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit(1)), F.lit(1_000_003)) < math.ceil(1_000_003 * min(1.0, rows / n))
-    sure = [r[0] for r in some.where(low(12 * trusted) & F.col(text).rlike(CANDIDATE)).select(text).limit(2 * trusted).collect()]
+    h = F.xxhash64(F.col(key).cast("string"), F.lit(1))
+    low = lambda rows: F.pmod(h, F.lit(1_000_003)) < math.ceil(1_000_003 * min(1.0, rows / n))
+    first = some.where(F.col(text).rlike(CANDIDATE)).select(h.alias("h")).orderBy("h").limit(2 * trusted).collect()  # hashes only: the texts of all would meet in a task
+    chosen = df.sparkSession.createDataFrame(sorted({(r["h"],) for r in first}), "h bigint")
+    sure = [r[0] for r in some.select(text, h.alias("h")).join(F.broadcast(chosen), "h", "left_semi").select(text).limit(2 * trusted).collect()]
     sure = [t for t in sorted(sure) if (ps := passages(t)) and all(signals(ps))][:trusted]
     others = [r[0] for r in some.where(low(sample)).select(text).limit(2 * sample).collect()]
     return learn(sure, others)

@@ -274,6 +274,14 @@ def test_repair():
 # --- residue
 
 
+def test_trusted_records_are_looked_for_in_all_rows(spark, monkeypatch):
+    rows = [(i, "{{ title }}" if i % 120 == 7 else srt(["We left the tram.", "Yes, of course."])) for i in range(600)]
+    got = []
+    monkeypatch.setattr(residue, "learn", lambda sure, others: got.append(sure))
+    residue.fit(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", trusted=5, sample=10)
+    assert got == [["{{ title }}"] * 5]
+
+
 def test_residue_held_out(spark):
     rng = random.Random(6)
     say = ["We left the {} behind the {}.", "Did you see the {}, {}?", "Look at the {}, it is grey.", "Yes, of course.", "They painted the {} twice."]
