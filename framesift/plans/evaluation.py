@@ -1,4 +1,8 @@
-"""Queries of retrieval metrics and paired statistics over the labels' searches."""
+"""Queries of retrieval metrics and paired statistics over the labels' searches.
+
+The run judged is the first 100 of BM25, in SQL as well: rr is 0 if the first relevant frame comes later, and ap counts the
+relevant frames within it over all there are, so a label with more than 100 can't reach 1.
+"""
 
 from __future__ import annotations
 
