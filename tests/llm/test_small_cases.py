@@ -277,9 +277,31 @@ def test_repair():
 def test_trusted_records_are_looked_for_in_all_rows(spark, monkeypatch):
     rows = [(i, "{{ title }}" if i % 120 == 7 else srt(["We left the tram.", "Yes, of course."])) for i in range(600)]
     got = []
-    monkeypatch.setattr(residue, "learn", lambda sure, others: got.append(sure))
-    residue.fit(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", trusted=5, sample=10)
-    assert got == [["{{ title }}"] * 5]
+    monkeypatch.setattr(residue, "learn", lambda sure, others: got.append((sure, others)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    residue.fit(df, "doc_id", "text", trusted=5, sample=100)
+    (sure, others), = got
+    assert sure == ["{{ title }}"] * 5 and 60 <= len(others) <= 140
+    residue.fit(df, "doc_id", "text", trusted=4, sample=10_000)  # at most so many, by hash
+    assert 0 < len(got[1][0]) <= 4 and len(got[1][1]) == 600
+
+
+def test_residue_filler_of_no_fixed_form(spark):
+    rng = random.Random(8)
+    noun = ["tram", "piano", "kettle", "bridge", "lamp", "ferry", "orchard"]
+    talk = lambda: f"We left the {rng.choice(noun)} behind the {rng.choice(noun)}."
+    rows, want = [], set()
+    for i in range(300):
+        if i % 20 == 3:
+            rows.append((i, srt([f"Caption pending {n}" for n in range(9)])))  # one line throughout
+            want.add(i)
+        elif i % 20 == 7:
+            rows.append((i, srt(["Caption pending 3", "Caption pending 8", talk()])))
+            want.add(i)
+        else:
+            rows.append((i, srt(["[DOOR SLAMS]", talk(), "Caption pending 1" if i % 20 == 9 else talk(), "Yes, of course.", talk()])))
+    got = {r.doc_id for r in residue.residue_records(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
 
 
 def test_residue_held_out(spark):
