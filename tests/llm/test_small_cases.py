@@ -6,6 +6,8 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from framesift.llm import bpe, group_topn, leaks, neighbors, residue, runs, subtitles, term_freq, text_form
 
@@ -169,14 +171,57 @@ def test_runs(spark, chunks):
     assert runs.collapse(df.limit(0), "video_id", "id", "timestamp", "cluster_span").collect() == []
 
 
-@pytest.mark.parametrize("chunks", [2, 5, 20])
-def test_runs_of_one_span_broken_within_chunks(spark, chunks):
-    rows = [("v", float(n), f"i{n:04d}", None if n % 7 == 3 else (1.0, 9.0)) for n in range(400)]
+@pytest.mark.parametrize(("chunks", "fan"), [(1, 2), (2, 2), (5, 2), (20, 3), (37, 2), (61, 64)])
+def test_runs_of_one_span_broken_within_chunks(spark, chunks, fan):
+    rows = [("v", float(n), f"i{n:04d}", None if n % 7 == 3 else (1.0, 9.0)) for n in range(120)]
+    rows += [("w", float(n), f"j{n:04d}", (1.0, 9.0)) for n in range(150)]  # a run over many chunks
     df = spark.createDataFrame(rows, "video_id string, timestamp double, id string, cluster_span struct<t_start:double,t_end:double>")
-    got = runs.collapse(df, "video_id", "id", "timestamp", "cluster_span", chunks=chunks)
+    got = runs.collapse(df, "video_id", "id", "timestamp", "cluster_span", chunks=chunks, fan=fan)
     assert sorted((r.video_id, r.first_id, r.last_id, r.n) for r in got.collect()) == brute_runs(rows)
 
 
+def test_first_and_last_run_of_a_chunk_do_not_join(spark):
+    span = (1.0, 4.0)
+    rows = [("v", float(n), i, s) for n, (i, s) in enumerate([("a", span), ("b", span), ("n", None), ("c", span), ("d", span)])]
+    df = spark.createDataFrame(rows, "video_id string, timestamp double, id string, cluster_span struct<t_start:double,t_end:double>")
+    for chunks in (1, 2, 5):
+        got = runs.collapse(df, "video_id", "id", "timestamp", "cluster_span", chunks=chunks)
+        assert sorted((r.first_id, r.last_id, r.n) for r in got.collect()) == [("a", "b", 2), ("c", "d", 2), ("n", "n", 1)]
+
+
+@given(st.lists(st.tuples(st.sampled_from("vw"), st.sampled_from([None, 1.0, 1.05, 1.2, 5.0])), max_size=40), st.lists(st.integers(0, 40), max_size=8), st.integers(2, 4))
+def test_merging_summaries_is_associative(events, cuts, fan):
+    """Runs of a sequence cut anywhere, empty chunks included, merged in a tree of any width."""
+    events = sorted(events, key=lambda e: e[0])
+    one = [runs_row(k, v, x) for k, (v, x) in enumerate(events)]
+    edges = sorted({0, len(one), *(c for c in cuts if c < len(one))})
+    got, level = [], []
+    for chunk, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+        summary: list = []
+        for r in one[lo:hi]:
+            summary, between = runs.merge(summary, [r], 0.1) if summary else ([r], [])
+            got += between
+        level.append((2 * chunk, summary))  # numbers left out stand for empty chunks
+    while len(level) > 1 or level and level[0][0] > 0:
+        groups: dict = {}
+        for chunk, summary in level:
+            into = groups.setdefault(chunk // fan, [])
+            groups[chunk // fan], between = runs.merge(into, summary, 0.1) if into else (summary, [])
+            got += between
+        level = list(groups.items())
+    got += [r for _, s in level for r in s]
+    want: list = []
+    for r in one:
+        joined = want and runs.combine(want[-1], r, 0.1)
+        want = [*want[:-1], joined] if joined else [*want, r]
+    assert sorted((r["first_id"], r["last_id"], r["n"]) for r in got) == [(r["first_id"], r["last_id"], r["n"]) for r in want]
+
+
+def runs_row(k, v, x):
+    x = float("nan") if x is None else x
+    return {"seq": v, "first_id": f"{k:03d}", "last_id": f"{k:03d}", "first_t": float(k), "last_t": float(k), "n": 1, "a0": x, "a1": x, "z0": x, "z1": x}
+
+
 # --- tokens
 
 
