@@ -1,16 +1,18 @@
 """The k most similar vectors of every vector, by an inverted multi-index.
 
 Both halves of the unit vectors are quantised on their own; a cell is a pair of centroids, its list holds the vectors next
-to them. The lists lie in the shared folder, a file per first centroid and band of second ones, each task reads those it
-needs, and no vector is shuffled to its queries. Queries of one cell traverse the centroid pairs together, by summed distance
-from their mean with a heap, until the lists met hold enough entries, which are then ranked by their exact cosine.
+to them. The entries lie in the shared folder sorted by cell, in files of bounded size, so a dense cell goes over many of them. Each
+query traverses the centroid pairs by summed distance with a heap of its own, until it has met enough entries; queries of one cell
+are taken together only to multiply each list once by those that want it. What is met is reranked by exact cosine.
 
 Equal vectors are one entry with its first ids; those beyond are answered from it by a join. The codebooks are learned from a
-bounded sample (`sample` vectors, chosen by hash); all vectors are indexed and all are queries.
+bounded sample (`sample` vectors, chosen by hash); all vectors are indexed and all are queries. A cell is always ranked whole, so a
+dense group of different vectors costs its square, in blocks spread over tasks; nothing of it is left out.
 """
 
 from __future__ import annotations
 
+import bisect
 import heapq
 import math
 import uuid
@@ -20,13 +22,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from framesift.session import cut, shared_path
 
-BANDS = 8
+FILE, BATCH = 65_536, 2_048  # rows
+CODES = 2_048  # centroids of a half at most, so that the counts of all cells take 16 MB
 
 
 def kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
@@ -57,37 +61,54 @@ def matrix(col: pa.Array, dim: int) -> np.ndarray:
 
 
 class Lists:
-    """The lists of the index, read as they are needed; at most `mb` of them are kept."""
-
-    def __init__(self, files: dict[int, str], dim: int, mb: int = 256):
-        self.files, self.dim, self.left = files, dim, mb << 20
-        self.kept: OrderedDict[int, tuple] = OrderedDict()
-
-    def unit(self, u: int) -> tuple[np.ndarray, np.ndarray, list[list[str]]]:
-        """Second centroids (ascending), vectors and ids of a file."""
-        if u in self.kept:
-            self.kept.move_to_end(u)
-            return self.kept[u]
-        fs, at = pafs.FileSystem.from_uri(self.files[u])
-        with fs.open_input_file(at) as f:
-            t = pa.ipc.open_file(f).read_all()
-        vec = t["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, self.dim)
-        got = t["c2"].to_numpy(), vec, t["ids"].to_pylist()
-        self.kept[u] = got
-        self.left -= 3 * vec.nbytes
-        while self.left < 0 and len(self.kept) > 1:
-            _, (_, old, _) = self.kept.popitem(last=False)
-            self.left += 3 * old.nbytes
+    """The entries of the index by row number, read as they are needed; at most about `mb` of them are kept."""
+
+    def __init__(self, files: list[str], starts: np.ndarray, dim: int, mb: int = 160):
+        self.files, self.starts, self.dim, self.left = files, starts.tolist(), dim, mb << 20
+        self.kept: OrderedDict[tuple[int, int], tuple] = OrderedDict()
+
+    def batch(self, row: int) -> tuple[int, np.ndarray, pa.Array]:
+        """The first row of the batch that holds a row, its vectors and ids."""
+        f = bisect.bisect_right(self.starts, row) - 1
+        at = f, (row - self.starts[f]) // BATCH
+        got = self.kept.get(at)
+        if got is None:
+            fs, path = pafs.FileSystem.from_uri(self.files[f])
+            with fs.open_input_file(path) as x:
+                b = pa.ipc.open_file(x).get_batch(at[1])
+            got = self.starts[f] + at[1] * BATCH, b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, self.dim), b.column("ids")
+            self.kept[at] = got
+            self.left -= b.nbytes
+            while self.left < 0 and len(self.kept) > 1:
+                old = self.kept.popitem(last=False)[1]
+                self.left += old[1].nbytes + old[2].nbytes
+        else:
+            self.kept.move_to_end(at)
         return got
 
+    def vectors(self, lo: int, hi: int) -> np.ndarray:
+        first, vec, _ = self.batch(lo)
+        if hi <= first + len(vec):
+            return vec[lo - first : hi - first]
+        parts = []
+        while lo < hi:
+            first, vec, _ = self.batch(lo)
+            parts.append(vec[lo - first : hi - first])
+            lo += len(parts[-1])
+        return np.concatenate(parts)
+
+    def ids(self, row: int) -> list[str]:
+        first, _, ids = self.batch(row)
+        return ids[row - first].as_py()
+
 
-def traverse(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, enough: int) -> list[tuple[int, int]]:
-    """Centroid pairs by d1[i] + d2[j], ascending, until their lists hold enough entries; empty ones are left out."""
+def traverse(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, enough: int, least: int = 1) -> list[tuple[int, int]]:
+    """Centroid pairs by d1[i] + d2[j], ascending, until `least` lists were met that hold `enough` entries; empty ones are left out."""
     o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
     a1, a2 = d1[o1].tolist(), d2[o2].tolist()
     o1, o2 = o1.tolist(), o2.tolist()
     heap, found, n = [(a1[0] + a2[0], 0, 0)], [], 0
-    while heap and n < enough:
+    while heap and (n < enough or len(found) < least):
         _, a, b = heapq.heappop(heap)
         if b + 1 < len(a2):
             heapq.heappush(heap, (a1[a] + a2[b + 1], a, b + 1))
@@ -100,13 +121,89 @@ def traverse(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, enough: int) ->
     return found
 
 
-def similar_pairs(df: DataFrame, key: str, vector: str, k: int = 5, least: float | None = None, scan: int = 3000, sample: int = 32_768, cell: int = 40, dim: int | None = None) -> DataFrame:
+def best_of(sim: np.ndarray, m: int, low: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the m highest elements of each row that are at least low; of narrow matrices of all that are."""
+    if sim.shape[1] <= 4 * m:
+        return np.nonzero(sim >= low)
+    best = np.argpartition(sim, sim.shape[1] - m, axis=1)[:, -m:]
+    rows, cols = np.nonzero(np.take_along_axis(sim, best, 1) >= low)
+    return rows, best[rows, cols]
+
+
+class Search:
+    """Answers queries that are entries of the index."""
+
+    def __init__(self, books: tuple, files: list[str], starts: np.ndarray, counts: np.ndarray, dim: int, k: int, low: float, scan: int, cells: int):
+        self.books, self.counts, self.k, self.low, self.scan, self.cells = books, counts, k, low, scan, cells
+        self.flat = counts.ravel()
+        self.first = np.cumsum(self.flat, dtype=np.int64) - self.flat  # the row with which a cell begins
+        self.lists = Lists(files, starts, dim)
+
+    def near(self, q: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, similarity) of the best entries of each query, by query and similarity descending; own: the row of the first query."""
+        half = self.books[0].shape[1]
+        d1, d2 = (((b * b).sum(1) - 2 * x @ b.T) for b, x in zip(self.books, (q[:, :half], q[:, half:]), strict=True))
+        wanted: dict[int, list[int]] = {}
+        for r in range(len(q)):
+            for i, j in traverse(d1[r], d2[r], self.counts, self.scan, self.cells):
+                wanted.setdefault(i * self.counts.shape[1] + j, []).append(r)
+        home = int(np.searchsorted(self.first, own, "right")) - 1
+        wanted[home] = list(range(len(q)))
+        m = 2 * self.k + 3  # the query itself may be among them
+        rows, where, sims = [], [], []
+        for cell in sorted(wanted):
+            asks = np.array(wanted[cell])
+            lo, hi = int(self.first[cell]), int(self.first[cell] + self.flat[cell])
+            part = q if len(asks) == len(q) else q[asks]
+            for start in range(lo, hi, 2 * BATCH):
+                sim = part @ self.lists.vectors(start, min(hi, start + 2 * BATCH)).T
+                r, c = best_of(sim, m, self.low - 1e-5)
+                if len(r):
+                    rows.append(asks[r])
+                    where.append(c + start)
+                    sims.append(sim[r, c])
+        if not rows:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        rows, where, sims = np.concatenate(rows), np.concatenate(where), np.concatenate(sims)
+        other = where != rows + own
+        rows, where, sims = rows[other], where[other], sims[other]
+        order = np.lexsort((-sims, rows))
+        rows, where = rows[order], where[order]
+        kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < m
+        rows, where = rows[kept], where[kept]
+        vec = np.stack([(b := self.lists.batch(w))[1][w - b[0]] for w in where.tolist()]) if len(where) else np.zeros((0, q.shape[1]), np.float32)
+        exact = np.round(np.einsum("ij,ij->i", q[rows].astype(np.float64), vec.astype(np.float64)), 9)
+        order = np.lexsort((-exact, rows))
+        return rows[order], where[order], exact[order]
+
+    def pairs(self, lo: int, hi: int) -> Iterator[tuple[str, str, float]]:
+        """(id_a, id_b, similarity) of the k nearest of the entries lo to hi."""
+        while lo < hi:
+            cell = int(np.searchsorted(self.first, lo, "right")) - 1
+            stop = min(hi, lo + 256, int(self.first[cell] + self.flat[cell]))
+            rows, where, exact = (x.tolist() for x in self.near(self.lists.vectors(lo, stop), lo))
+            near: dict[int, list[tuple[float, str]]] = {}
+            for r, w, s in zip(rows, where, exact, strict=True):
+                near.setdefault(r, []).extend((-s, x) for x in self.lists.ids(w))
+            for r in range(stop - lo):
+                own, others = self.lists.ids(lo + r), near.get(r, [])
+                if len(own) == 1 and not others:
+                    continue
+                for a in own[: self.k + 1]:
+                    for s, x in sorted([*others, *((-1.0, y) for y in own if y != a)])[: self.k]:
+                        if -s >= self.low:
+                            yield min(a, x), max(a, x), -s
+            lo = stop
+
+
+def similar_pairs(df: DataFrame, key: str, vector: str, k: int = 5, least: float | None = None, scan: int | None = 1500, cells: int = 24, sample: int = 32_768, cell: int = 40, dim: int | None = None) -> DataFrame:
     """`id_a`, `id_b` (id_a < id_b), `similarity`: one of the two is among the k most similar others of the other.
 
-    Equal similarities go by smaller id; pairs below `least` are left out. scan: entries ranked for a query at least; cell:
-    mean entries of a cell. Vectors that are null, of another length than `dim` (by default that of the first usable one),
-    all zero, or that hold null, NaN or infinity take no part, nor do null keys; a repeated key counts once. Keys are strings
-    or are compared as such. An empty table gives no rows.
+    Equal similarities go by smaller id; pairs below `least` are left out. scan: entries ranked for a query at least, in `cells` lists
+    at least; None ranks all, which is exact. cell: mean entries of a cell, up to CODES centroids of a half (170 million vectors); beyond, cells
+    fill up and `cells` of them are ranked. sample: vectors for the codebooks, 32 for each centroid if that is more. Vectors that are null,
+    of another length than `dim` (by default that of the first usable one), all zero, or that hold null, NaN or infinity take no
+    part, nor do null keys; a repeated key counts once. Keys are strings or are compared as such. An empty table gives no rows.
     """
     spark = df.sparkSession
     v = df.select(F.col(key).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("vec"))
@@ -116,17 +213,17 @@ def similar_pairs(df: DataFrame, key: str, vector: str, k: int = 5, least: float
         dim = first["d"] if first else 2
     v = v.where(F.size("vec") == dim).withColumns({"k1": F.xxhash64("vec"), "k2": F.hash("vec", F.lit(1))})
     n = df.count()
-    chosen = v.where(F.pmod("k1", F.lit(max(1, math.ceil(n / sample)))) == 0).select("vec").limit(2 * sample).toArrow()
+    size = min(CODES, max(4, round(math.sqrt(n / cell))))
+    sample = max(sample, 32 * size)
+    chosen = v.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(max(1, math.ceil(n / sample)))) == 0).select("vec").limit(2 * sample).toArrow()
     if not chosen.num_rows:
         chosen = v.select("vec").limit(sample).toArrow()
     if not chosen.num_rows:
         return spark.createDataFrame([], "id_a string, id_b string, similarity double")
     x = matrix(chosen["vec"].combine_chunks(), dim)
     half = dim // 2
-    size = min(1024, max(4, round(math.sqrt(n / cell))))
     books = kmeans(x[:, :half], size), kmeans(x[:, half:], size)
-    size = max(len(books[0]), len(books[1]))
-    band = math.ceil(size / BANDS)
+    shape = len(books[0]), len(books[1])
     shared = spark.sparkContext.broadcast(books)
     folder = shared_path(spark, "lists")
 
@@ -135,116 +232,66 @@ def similar_pairs(df: DataFrame, key: str, vector: str, k: int = 5, least: float
         for b in batches:
             if b.num_rows:
                 m = matrix(b.column("vec"), dim)
-                c1, c2 = nearest(m[:, :half], b1), nearest(m[:, half:], b2)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array((c1 * BANDS + c2 // band).astype(np.int32)), pa.array(c2.astype(np.int32))], names=[*b.schema.names, "unit", "c2"])
+                c = nearest(m[:, :half], b1) * shape[1] + nearest(m[:, half:], b2)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(c.astype(np.int32))], names=[*b.schema.names, "cell"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by unit and c2 into a file per unit; gives its path and the entries of each cell."""
-        held: list[pa.RecordBatch] = []
+        """Rows sorted by cell into files; gives of each its path, rows and the entries of each cell, with the partition and a number."""
+        part, number = TaskContext.get().partitionId(), 0
 
-        def close() -> pa.RecordBatch:
-            t = pa.Table.from_batches(held)
-            c2 = t["c2"].to_numpy()
+        def save(t: pa.Table) -> pa.RecordBatch:
             vec = np.concatenate([matrix(c, dim) for c in t["vec"].chunks if len(c)])
-            out = pa.table({"c2": c2, "vec": pa.FixedSizeListArray.from_arrays(pa.array(vec.ravel()), dim), "ids": t["ids"]})
+            out = pa.table({"vec": pa.FixedSizeListArray.from_arrays(pa.array(vec.ravel()), dim), "ids": t["ids"].combine_chunks()})
             at = f"{folder}/{uuid.uuid4().hex}.arrow"  # a retried task writes files of its own
             fs, path = pafs.FileSystem.from_uri(at)
             fs.create_dir(path.rpartition("/")[0], recursive=True)
             with fs.open_output_stream(path) as f, pa.ipc.new_file(f, out.schema) as w:
-                w.write_table(out)
-            cells, counts = np.unique(c2, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array([t["unit"][0].as_py()], pa.int32()), pa.array([at]), pa.array([cells.tolist()], pa.list_(pa.int32())), pa.array([counts.tolist()], pa.list_(pa.int32()))], names=["unit", "file", "cells", "counts"])
+                w.write_table(out, max_chunksize=BATCH)
+            here, counts = np.unique(t["cell"].to_numpy(), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([number]), pa.array([at]), pa.array([t.num_rows]), pa.array([here.tolist()], pa.list_(pa.int32())), pa.array([counts.tolist()], pa.list_(pa.int32()))], names=["part", "number", "file", "n", "cells", "counts"])
 
+        held: list[pa.RecordBatch] = []
+        rows = 0
         for b in batches:
-            if not b.num_rows:
-                continue
-            u = b.column("unit").to_numpy()
-            edges = [0, *(np.flatnonzero(u[1:] != u[:-1]) + 1).tolist(), len(u)]
-            for lo, hi in zip(edges, edges[1:], strict=False):
-                if held and held[-1].column("unit")[0].as_py() != int(u[lo]):
-                    yield close()
-                    held.clear()
-                held.append(b.slice(lo, hi - lo))
-        if held:
-            yield close()
-
-    placed = v.mapInArrow(assign, "id string, vec array<float>, k1 bigint, k2 int, unit int, c2 int")
+            held.append(b)
+            rows += b.num_rows
+            while rows >= FILE:
+                t = pa.Table.from_batches(held)
+                yield save(t.slice(0, FILE))
+                number += 1
+                held = t.slice(FILE).to_batches()
+                rows -= FILE
+        if rows:
+            yield save(pa.Table.from_batches(held))
+
+    placed = v.mapInArrow(assign, "id string, vec array<float>, k1 bigint, k2 int, cell int")
     # of equal vectors the first k + 1 ids; the limit holds before the shuffle too, so copies of one vector don't gather
-    equal = Window.partitionBy("unit", "k1", "k2").orderBy("id")
+    equal = Window.partitionBy("k1", "k2").orderBy("id")
     entries = placed.withColumn("r", F.dense_rank().over(equal)).where(F.col("r") <= k + 1)
-    entries = entries.groupBy("unit", "k1", "k2").agg(F.first("c2").alias("c2"), F.first("vec").alias("vec"), F.array_sort(F.collect_set("id")).alias("ids"))
-    lists = cut(entries.repartition("unit").sortWithinPartitions("unit", "c2").mapInArrow(write, "unit int, file string, cells array<int>, counts array<int>"))
-    manifest = lists.collect()  # a row per file: at most size * BANDS, whatever the number of vectors
-    files, counts = {}, np.zeros((size, size), np.int32)
-    work: list[tuple[int, int, int]] = []
+    entries = entries.groupBy("k1", "k2").agg(F.first("cell").alias("cell"), F.first("vec").alias("vec"), F.array_sort(F.collect_set("id")).alias("ids"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n / (4 * FILE)))
+    order = ("cell", "k1", "k2")
+    files = cut(entries.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(write, "part bigint, number bigint, file string, n bigint, cells array<int>, counts array<int>"))
+    manifest = sorted(files.collect(), key=lambda r: (r["part"], r["number"]))  # a row per file, each of at most FILE entries; CODES ** 2 cells
+    counts = np.zeros(shape[0] * shape[1], np.int32)
     for r in manifest:
-        files[r["unit"]] = r["file"]
-        counts[r["unit"] // BANDS, r["cells"]] = r["counts"]
-        total = sum(r["counts"])
-        work += [(r["unit"], lo, min(lo + 2048, total)) for lo in range(0, total, 2048)]
-    work.sort()
-    plan = spark.sparkContext.broadcast((files, counts, work))
+        counts[r["cells"]] += np.array(r["counts"], np.int32)
+    starts = np.cumsum([0, *(r["n"] for r in manifest)])
+    total = int(starts[-1])
     low = -2.0 if least is None else least
+    plan = spark.sparkContext.broadcast(([r["file"] for r in manifest], starts[:-1], counts.reshape(shape)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, counts, work = plan.value
-        b1, b2 = shared.value
-        lists = Lists(files, dim)
+        find = Search(shared.value, *plan.value, dim, k, low, total if scan is None else scan, cells)
         for batch in batches:
-            for w in batch.column(0).to_pylist():
-                unit, lo, hi = work[w]
-                c2, vec, ids = lists.unit(unit)
-                c1 = unit // BANDS
-                out_a: list[str] = []
-                out_b: list[str] = []
-                out_s: list[float] = []
-                start = lo
-                while start < hi:
-                    stop = min(int(np.searchsorted(c2, c2[start], "right")), start + 256, hi)
-                    q = vec[start:stop]
-                    mean = q.mean(0)
-                    cells = traverse(((b1 - mean[:half]) ** 2).sum(1), ((b2 - mean[half:]) ** 2).sum(1), counts, scan)
-                    if (c1, int(c2[start])) not in cells:
-                        cells.append((c1, int(c2[start])))
-                    cand, where, owner = [], [], []
-                    for i, j in cells:
-                        u = i * BANDS + j // band
-                        uc2, uvec, _ = lists.unit(u)
-                        s, e = np.searchsorted(uc2, [j, j + 1])
-                        cand.append(uvec[s:e])
-                        where.append(np.arange(s, e))
-                        owner.append(np.full(e - s, u))
-                    cand, where, owner = np.concatenate(cand), np.concatenate(where), np.concatenate(owner)
-                    sim = q @ cand.T
-                    sim[(owner == unit)[None, :] & (where[None, :] == np.arange(start, stop)[:, None])] = -3  # itself
-                    m = min(2 * k + 2, sim.shape[1])
-                    best = np.argpartition(sim, sim.shape[1] - m, axis=1)[:, -m:]
-                    rows, cols = np.nonzero(np.take_along_axis(sim, best, 1) >= low - 1e-5)
-                    hit = best[rows, cols]
-                    exact = np.einsum("ij,ij->i", q[rows].astype(np.float64), cand[hit].astype(np.float64))
-                    exact = np.round(exact, 9).tolist()
-                    near: dict[int, list[tuple[float, str]]] = {}
-                    for r, h, s in zip(rows.tolist(), hit.tolist(), exact, strict=True):
-                        if s > -2:
-                            near.setdefault(r, []).extend((-s, x) for x in lists.unit(int(owner[h]))[2][int(where[h])])
-                    for r in range(stop - start):
-                        own = ids[start + r]
-                        others = near.get(r, [])
-                        if not others and len(own) == 1:
-                            continue
-                        for a in own[:k + 1]:
-                            for s, x in sorted([*others, *((-1.0, y) for y in own if y != a)])[:k]:
-                                if -s >= low:
-                                    out_a.append(min(a, x))
-                                    out_b.append(max(a, x))
-                                    out_s.append(-s)
-                    start = stop
-                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.string()), pa.array(out_b, pa.string()), pa.array(out_s, pa.float64())], names=["id_a", "id_b", "similarity"])
-
-    tasks = max(1, min(len(work), max(24, len(work) // 16)))
-    pairs = spark.range(0, len(work), 1, tasks).mapInArrow(search, "id_a string, id_b string, similarity double")
+            for lo in batch.column(0).to_pylist():
+                out = list(zip(*find.pairs(lo, min(total, lo + 1024)), strict=True)) or [(), (), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.string(), pa.string(), pa.float64()), strict=True)], names=["id_a", "id_b", "similarity"])
+
+    blocks = math.ceil(total / 1024)
+    pairs = spark.range(0, total, 1024, max(1, min(blocks, max(24, blocks // 16)))).mapInArrow(search, "id_a string, id_b string, similarity double")
     # ids beyond the first k + 1 of equal vectors: their k nearest are the first k of these
-    many = placed.withColumn("r", F.dense_rank().over(equal)).where(F.col("r") <= k + 1).groupBy("unit", "k1", "k2").agg(F.array_sort(F.collect_set("id")).alias("ids")).where(F.size("ids") > k)
-    rest = v.select("id", "k1", "k2").join(many.drop("unit"), ["k1", "k2"]).where(F.col("id") > F.element_at("ids", k + 1))
+    many = v.withColumn("r", F.dense_rank().over(equal)).where(F.col("r") <= k + 1).groupBy("k1", "k2").agg(F.array_sort(F.collect_set("id")).alias("ids")).where(F.size("ids") > k)
+    rest = v.select("id", "k1", "k2").join(many, ["k1", "k2"]).where(F.col("id") > F.element_at("ids", k + 1))
     rest = rest.select(F.explode(F.slice("ids", 1, k)).alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("similarity"))
     return pairs.unionAll(rest).groupBy("id_a", "id_b").agg(F.max("similarity").alias("similarity"))

@@ -77,14 +77,26 @@ def test_similar_pairs(spark):
     rows += [(f"z{i:03d}", rows[0][1]) for i in range(20)]  # a group of copies
     odd = [("n1", None), ("n2", [0.0] * 8), ("n3", [float("nan")] * 8), ("n4", [1.0]), (None, rows[0][1]), ("n5", [1.0] * 7 + [None])]
     df = spark.createDataFrame([(i, v, "x") for i, v in rows + odd + rows[:5]], "id string, vec array<float>, id_a string")
-    got = {(r.id_a, r.id_b) for r in neighbors.similar_pairs(df, "id", "vec", 5, 0.9, scan=200, dim=8).collect()}
     want = brute_pairs(rows, 5, 0.9)
-    assert len(got & want) >= 0.95 * len(want) and len(got - want) <= 0.05 * len(want)
+    assert {(r.id_a, r.id_b) for r in neighbors.similar_pairs(df, "id", "vec", 5, 0.9, scan=None, dim=8).collect()} == want
+    got = {(r.id_a, r.id_b) for r in neighbors.similar_pairs(df, "id", "vec", 5, 0.9, scan=100, cells=4, dim=8).collect()}
+    assert len(got & want) >= 0.98 * len(want) and len(got - want) <= 0.02 * len(want)
     copies = {p for p in want if p[0][0] == "z" or p[1][0] == "z"}
     assert len(copies & got) >= 0.95 * len(copies)
     assert neighbors.similar_pairs(df.limit(0), "id", "vec").collect() == []
 
 
+def test_similar_pairs_of_a_dense_cell_over_files(spark, monkeypatch):
+    """A cell of most vectors goes over files and batches, and pairs of them meet all the same."""
+    rng = np.random.default_rng(4)
+    x = np.concatenate([np.ones(8) + 0.01 * rng.standard_normal((300, 8)), rng.standard_normal((80, 8))]).astype(np.float32)
+    rows = [(f"k{i:04d}", v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "id string, vec array<float>")
+    for files in (neighbors.FILE, 32):
+        monkeypatch.setattr(neighbors, "FILE", files)
+        assert {(r.id_a, r.id_b) for r in neighbors.similar_pairs(df, "id", "vec", 3, scan=None).collect()} == brute_pairs(rows, 3, -2)
+
+
 # --- frequencies
 
 
