@@ -2,8 +2,8 @@
 
 Both halves of the unit vectors are quantised on their own; a cell is a pair of centroids, its list holds the vectors next
 to them. The entries lie in the shared folder sorted by cell, in files of bounded size, so a dense cell goes over many of them. Each
-query traverses the centroid pairs by summed distance with a heap of its own, until it has met enough entries; queries of one cell
-are taken together only to multiply each list once by those that want it. What is met is reranked by exact cosine.
+query traverses the centroid pairs by summed distance with a heap of its own, until it has met enough entries; the lists that the
+queries of one cell meet are ranked for all of these by exact cosine, in one product.
 
 Equal vectors are one entry with its first ids; those beyond are answered from it by a join. The codebooks are learned from a
 bounded sample (`sample` vectors, chosen by hash); all vectors are indexed and all are queries. A cell is always ranked whole, so a
@@ -102,11 +102,15 @@ class Lists:
         return ids[row - first].as_py()
 
 
-def traverse(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, enough: int, least: int = 1) -> list[tuple[int, int]]:
-    """Centroid pairs by d1[i] + d2[j], ascending, until `least` lists were met that hold `enough` entries; empty ones are left out."""
-    o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
-    a1, a2 = d1[o1].tolist(), d2[o2].tolist()
-    o1, o2 = o1.tolist(), o2.tolist()
+def ascending(d: np.ndarray) -> tuple[list[list[int]], list[list[float]]]:
+    """Of each row the columns by value, and the values."""
+    order = np.argsort(d, axis=1, kind="stable")
+    return order.tolist(), np.take_along_axis(d, order, 1).tolist()
+
+
+def traverse(o1: list[int], a1: list[float], o2: list[int], a2: list[float], counts: np.ndarray, enough: int, least: int = 1) -> list[tuple[int, int]]:
+    """Centroid pairs by summed distance (o: centroids of a half, a: their distances, ascending), until `least` lists were met that hold
+    `enough` entries; empty ones are left out."""
     heap, found, n = [(a1[0] + a2[0], 0, 0)], [], 0
     while heap and (n < enough or len(found) < least):
         _, a, b = heapq.heappop(heap)
@@ -122,9 +126,10 @@ def traverse(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, enough: int, le
 
 
 def best_of(sim: np.ndarray, m: int, low: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the m highest elements of each row that are at least low; of narrow matrices of all that are."""
-    if sim.shape[1] <= 4 * m:
-        return np.nonzero(sim >= low)
+    """(row, column) of the m highest elements of each row that are at least low, or of more of those."""
+    rows, cols = np.nonzero(sim >= low)
+    if len(rows) <= 4 * m * len(sim):
+        return rows, cols
     best = np.argpartition(sim, sim.shape[1] - m, axis=1)[:, -m:]
     rows, cols = np.nonzero(np.take_along_axis(sim, best, 1) >= low)
     return rows, best[rows, cols]
@@ -143,38 +148,44 @@ class Search:
         """(query, row, similarity) of the best entries of each query, by query and similarity descending; own: the row of the first query."""
         half = self.books[0].shape[1]
         d1, d2 = (((b * b).sum(1) - 2 * x @ b.T) for b, x in zip(self.books, (q[:, :half], q[:, half:]), strict=True))
-        wanted: dict[int, list[int]] = {}
-        for r in range(len(q)):
-            for i, j in traverse(d1[r], d2[r], self.counts, self.scan, self.cells):
-                wanted.setdefault(i * self.counts.shape[1] + j, []).append(r)
-        home = int(np.searchsorted(self.first, own, "right")) - 1
-        wanted[home] = list(range(len(q)))
+        met = {int(np.searchsorted(self.first, own, "right")) - 1}
+        for o1, a1, o2, a2 in zip(*ascending(d1), *ascending(d2), strict=True):
+            met.update([i * self.counts.shape[1] + j for i, j in traverse(o1, a1, o2, a2, self.counts, self.scan, self.cells)])
         m = 2 * self.k + 3  # the query itself may be among them
-        rows, where, sims = [], [], []
-        for cell in sorted(wanted):
-            asks = np.array(wanted[cell])
-            lo, hi = int(self.first[cell]), int(self.first[cell] + self.flat[cell])
-            part = q if len(asks) == len(q) else q[asks]
-            for start in range(lo, hi, 2 * BATCH):
-                sim = part @ self.lists.vectors(start, min(hi, start + 2 * BATCH)).T
-                r, c = best_of(sim, m, self.low - 1e-5)
-                if len(r):
-                    rows.append(asks[r])
-                    where.append(c + start)
-                    sims.append(sim[r, c])
-        if not rows:
+        found: list[tuple] = []
+        for block in self.blocks(sorted(met)):
+            cand = np.concatenate([self.lists.vectors(lo, hi) for lo, hi in block])
+            r, c = best_of(q @ cand.T, min(m, len(cand)), self.low - 1e-5)
+            if len(r):
+                ends = np.cumsum([hi - lo for lo, hi in block])
+                part = np.searchsorted(ends, c, "right")
+                where = c - ends[part] + np.array([hi for _, hi in block])[part]
+                exact = np.einsum("ij,ij->i", q[r].astype(np.float64), cand[c].astype(np.float64))
+                other = where != r + own
+                found.append((r[other], where[other], np.round(exact[other], 9)))
+        if not found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        rows, where, sims = np.concatenate(rows), np.concatenate(where), np.concatenate(sims)
-        other = where != rows + own
-        rows, where, sims = rows[other], where[other], sims[other]
-        order = np.lexsort((-sims, rows))
-        rows, where = rows[order], where[order]
-        kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < m
-        rows, where = rows[kept], where[kept]
-        vec = np.stack([(b := self.lists.batch(w))[1][w - b[0]] for w in where.tolist()]) if len(where) else np.zeros((0, q.shape[1]), np.float32)
-        exact = np.round(np.einsum("ij,ij->i", q[rows].astype(np.float64), vec.astype(np.float64)), 9)
+        rows, where, exact = map(np.concatenate, zip(*found, strict=True))
         order = np.lexsort((-exact, rows))
-        return rows[order], where[order], exact[order]
+        rows, where, exact = rows[order], where[order], exact[order]
+        kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < m
+        return rows[kept], where[kept], exact[kept]
+
+    def blocks(self, cells: list[int], most: int = 16_384) -> Iterator[list[tuple[int, int]]]:
+        """Ranges of rows that the cells hold, in lists of `most` rows at most."""
+        block, n = [], 0
+        for cell in cells:
+            lo, hi = int(self.first[cell]), int(self.first[cell] + self.flat[cell])
+            while lo < hi:
+                stop = min(hi, lo + most - n)
+                block.append((lo, stop))
+                n += stop - lo
+                lo = stop
+                if n == most:
+                    yield block
+                    block, n = [], 0
+        if block:
+            yield block
 
     def pairs(self, lo: int, hi: int) -> Iterator[tuple[str, str, float]]:
         """(id_a, id_b, similarity) of the k nearest of the entries lo to hi."""
@@ -196,11 +207,11 @@ class Search:
             lo = stop
 
 
-def similar_pairs(df: DataFrame, key: str, vector: str, k: int = 5, least: float | None = None, scan: int | None = 1500, cells: int = 24, sample: int = 32_768, cell: int = 40, dim: int | None = None) -> DataFrame:
+def similar_pairs(df: DataFrame, key: str, vector: str, k: int = 5, least: float | None = None, scan: int | None = 900, cells: int = 20, sample: int = 32_768, cell: int = 40, dim: int | None = None) -> DataFrame:
     """`id_a`, `id_b` (id_a < id_b), `similarity`: one of the two is among the k most similar others of the other.
 
-    Equal similarities go by smaller id; pairs below `least` are left out. scan: entries ranked for a query at least, in `cells` lists
-    at least; None ranks all, which is exact. cell: mean entries of a cell, up to CODES centroids of a half (170 million vectors); beyond, cells
+    Equal similarities go by smaller id; pairs below `least` are left out. scan: entries met by a query at least, in `cells` lists
+    at least, times the fourth root of n / 200,000 if that is more than 1; None meets all, which is exact. cell: mean entries of a cell, up to CODES centroids of a half (170 million vectors); beyond, cells
     fill up and `cells` of them are ranked. sample: vectors for the codebooks, 32 for each centroid if that is more. Vectors that are null,
     of another length than `dim` (by default that of the first usable one), all zero, or that hold null, NaN or infinity take no
     part, nor do null keys; a repeated key counts once. Keys are strings or are compared as such. An empty table gives no rows.
@@ -279,10 +290,11 @@ def similar_pairs(df: DataFrame, key: str, vector: str, k: int = 5, least: float
     starts = np.cumsum([0, *(r["n"] for r in manifest)])
     total = int(starts[-1])
     low = -2.0 if least is None else least
+    enough = total if scan is None else round(scan * max(1.0, (n / 200_000) ** 0.25))
     plan = spark.sparkContext.broadcast(([r["file"] for r in manifest], starts[:-1], counts.reshape(shape)))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = Search(shared.value, *plan.value, dim, k, low, total if scan is None else scan, cells)
+        find = Search(shared.value, *plan.value, dim, k, low, enough, cells)
         for batch in batches:
             for lo in batch.column(0).to_pylist():
                 out = list(zip(*find.pairs(lo, min(total, lo + 1024)), strict=True)) or [(), (), ()]
