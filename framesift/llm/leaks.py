@@ -4,8 +4,10 @@ Each item is cut into windows as long as a leak must be (`least` words, or the w
 SimHash is the sign of a sum of word vectors, weighted by how rare the words are among all documents. Document windows of the same
 lengths slide by one word. Fingerprints are compared by a multi-index over four blocks of 16 bits, each with all values one
 bit away, so every pair of fingerprints within a Hamming distance of 7 is met. As a word that can't be read adds nothing, item windows
-are also kept with any one or two words left out, where that leads beyond this distance. Pairs met are verified by the weighted
-similarity of their words and by the run of consecutive words that agree, as long as it goes.
+are also kept with any one or two words left out, where that leads beyond this distance. Pairs met that share enough weight of words are
+verified by weighted shingles: along their diagonal the document is read as the item wherever a word may be the damaged form of the item's, and
+a window is a case if its shingles of five words, weighted by their words, all agree. (A damaged word spoils five shingles, so fingerprints
+are of words: those of shingles would lie far apart.) Very long documents are worked off in slices.
 
 All document windows are fingerprinted but those whose words can't reach the similarity with any item window, which the
 verification would turn down. The items are few by nature (`eval_items` has 400 rows at every scale); more are worked off in blocks of `block` items.
@@ -29,6 +31,8 @@ from framesift.session import spread
 RADIUS = 7
 UNREAD = 2
 BITS = 64
+SHINGLE = 5  # words
+SLICE = 50_000  # words whose fingerprints are held together
 
 
 class Vocabulary:
@@ -178,15 +182,16 @@ def same_word(a: str, b: str) -> bool:
     return most > 0 and within(a, b, most)
 
 
-def run_length(doc: list[str], item: list[str], i: int, j: int) -> int:
-    """The longest run of words that agree on the diagonal through doc[i], item[j]."""
+def shingle_similarity(doc: list[str], item: list[str], weight: list[int], i: int, j: int, w: int) -> float:
+    """Of the windows of w words on the diagonal through doc[i], item[j] the highest share of weighted shingles that agree."""
     back = min(i, j)
     i, j = i - back, j - back
-    best = run = 0
-    for x, y in zip(doc[i : i + len(item) - j], item[j:], strict=False):
-        run = run + 1 if same_word(x, y) else 0
-        best = max(best, run)
-    return best
+    agree = [same_word(x, y) for x, y in zip(doc[i : i + len(item) - j], item[j:], strict=False)]
+    size = min(SHINGLE, w)
+    whole = [sum(weight[j + k : j + k + size]) for k in range(len(agree) - size + 1)]
+    ok = [x if all(agree[k : k + size]) else 0 for k, x in enumerate(whole)]
+    n = w - size + 1  # shingles of a window
+    return max((sum(ok[k : k + n]) / sum(whole[k : k + n]) for k in range(len(whole) - n + 1)), default=0.0)
 
 
 def reach(words: np.ndarray, weight: np.ndarray, similarity: float) -> tuple[np.ndarray, float]:
@@ -234,10 +239,11 @@ def word_counts(documents: DataFrame, text: str, vocabulary: Vocabulary) -> np.n
     return counts
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", least: int = 12, similarity: float = 0.6, block: int = 4000) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", passage: str = "passage", least: int = 12, similarity: float = 0.6, shingles: float = 1.0, block: int = 4000) -> DataFrame:
     """`doc_id`, `item_id`: documents whose dialogue holds at least `least` consecutive words of an item, or all of a shorter one.
 
-    similarity: the least weighted share of words that two windows have in common. Rows with null key or text and items without words
+    similarity: the least weighted share of words that two windows have in common, to be aligned. shingles: the least weighted share of
+    shingles that agree in a window then; 1 means that all words do, as a case demands. Rows with null key or text and items without words
     give no case; repeated documents and items give one row. Empty tables give no rows.
     """
     spark = documents.sparkSession
@@ -249,14 +255,14 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
         return spark.createDataFrame([], f"doc_id {kinds[0]}, item_id {kinds[1]}")
     vocabulary = Vocabulary([w for _, ws in rows for w in ws])
     counts = word_counts(docs, "text", vocabulary)
-    found = [_block(spark, docs, rows[lo : lo + block], vocabulary, counts, least, similarity, kinds) for lo in range(0, len(rows), block)]
+    found = [_block(spark, docs, rows[lo : lo + block], vocabulary, counts, least, similarity, shingles, kinds) for lo in range(0, len(rows), block)]
     out = found[0]
     for x in found[1:]:
         out = out.unionAll(x)
     return out.distinct()
 
 
-def _block(spark: SparkSession, docs: DataFrame, rows: list, vocabulary: Vocabulary, counts: np.ndarray, least: int, similarity: float, kinds: tuple[str, str]) -> DataFrame:
+def _block(spark: SparkSession, docs: DataFrame, rows: list, vocabulary: Vocabulary, counts: np.ndarray, least: int, similarity: float, shingles: float, kinds: tuple[str, str]) -> DataFrame:
     idf = np.log((counts[0] + 1) / (counts + 1))
     weight = np.clip(np.round(idf), 1, 12).astype(np.int16)
     vectors = np.zeros((len(weight), BITS), np.int16)  # other words add nothing
@@ -273,29 +279,32 @@ def _block(spark: SparkSession, docs: DataFrame, rows: list, vocabulary: Vocabul
         *prints, words = map(np.concatenate, zip(*ps, strict=True))
         index[w] = Index(*prints), Gaps(words, prints[0], vectors), words, *reach(words, weight, similarity)
     kind = pa.int64() if kinds[1] in ("bigint", "int") else pa.string()
-    shared = spark.sparkContext.broadcast((vocabulary.ids, vectors, weight, index, keys, [i for i, _ in rows]))
+    heavy = [weight[x].tolist() for x in ids]
+    shared = spark.sparkContext.broadcast((vocabulary.ids, vectors, weight, index, keys, heavy, [i for i, _ in rows]))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, vectors, weight, index, keys, names = shared.value
+        known, vectors, weight, index, keys, heavy, names = shared.value
         reader = Reader(known)
-        shortest = min(index)
+        shortest, longest = min(index), max(index)
 
         def verified(group: list) -> Iterator[tuple]:
             """(document, item) of the documents (key, words, ids)."""
             size = [len(ids) for _, _, ids in group]
             at, doc, ids = np.cumsum([0, *size]), np.repeat(np.arange(len(group)), size), np.concatenate([ids for _, _, ids in group])
-            total = sums(vectors[ids])
             pairs: list[np.ndarray] = []
-            for w, (ix, gaps, words, most, need) in index.items():
-                starts = np.arange(max(0, len(ids) - w + 1))
-                most = np.concatenate([[0], np.cumsum(most[ids])])
-                starts = starts[(doc[starts] == doc[starts + w - 1]) & (most[starts + w] - most[starts] >= need)]
-                prints = fingerprints(total, starts, w)
-                i, j = (np.concatenate(x) for x in zip(ix.near(prints), gaps.same(prints), strict=True))
-                s = starts[i]
-                ok = similar(ids, s, words, j, weight, similarity)
-                s, j = s[ok], j[ok]
-                pairs.append(np.stack([doc[s], ix.item[j], s - at[doc[s]] - ix.at[j], s - at[doc[s]], np.full(len(s), w)], 1))
+            for lo in range(0, len(ids), SLICE):
+                here, of = ids[lo : lo + SLICE + longest - 1], doc[lo : lo + SLICE + longest - 1]
+                total = sums(vectors[here])
+                for w, (ix, gaps, words, most, need) in index.items():
+                    starts = np.arange(max(0, min(SLICE, len(here) - w + 1)))
+                    most = np.concatenate([[0], np.cumsum(most[here])])
+                    starts = starts[(of[starts] == of[starts + w - 1]) & (most[starts + w] - most[starts] >= need)]
+                    prints = fingerprints(total, starts, w)
+                    i, j = (np.concatenate(x) for x in zip(ix.near(prints), gaps.same(prints), strict=True))
+                    s = starts[i]
+                    ok = similar(here, s, words, j, weight, similarity)
+                    d, s, j = of[s[ok]], s[ok] + lo, j[ok]
+                    pairs.append(np.stack([d, ix.item[j], s - at[d] - ix.at[j], s - at[d], np.full(len(s), w)], 1))
             found: set[tuple[int, int]] = set()
             tried: set[tuple[int, int, int]] = set()
             folded: dict[int, list[str]] = {}
@@ -305,7 +314,7 @@ def _block(spark: SparkSession, docs: DataFrame, rows: list, vocabulary: Vocabul
                 tried.add((d, n, off))
                 if d not in folded:
                     folded[d] = [fold(x) for x in group[d][1]]
-                if run_length(folded[d], keys[n], s, s - off) >= w:
+                if shingle_similarity(folded[d], keys[n], heavy[n], s, s - off, w) >= shingles:
                     found.add((d, n))
             yield from ((group[d][0], names[n]) for d, n in sorted(found))
 
@@ -318,7 +327,7 @@ def _block(spark: SparkSession, docs: DataFrame, rows: list, vocabulary: Vocabul
                 if len(ids) >= shortest:
                     group.append((d.as_py(), words, ids))
                     held += len(ids)
-                    if held > 50_000:
+                    if held > SLICE:
                         out += verified(group)
                         group, held = [], 0
             if group:

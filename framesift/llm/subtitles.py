@@ -44,15 +44,16 @@ def cues(text: str) -> list[str] | None:
     return [x.strip() for x in _CUE.split("\n" + text.replace("\r\n", "\n").replace("\r", "\n"))[1:]]
 
 
-_STYLE = re.compile(r"</?[a-zA-Z][^<>\n]{0,80}>|\{\\[^{}\n]{0,80}\}|\\[Nnh]")
-_SOUND = re.compile(r"\[[^\]\x00]{0,120}\]|\([^)\x00]{0,120}\)|\*[^*\x00]{1,120}\*")
+_STYLE = re.compile(r"</?[a-zA-Z][^<>\n]*>|\{\\[^{}\n]*\}|\\[Nnh]")
+# within a cue, or, where there are no cues, within a line: an opening bracket doesn't swallow what is said after it
+_SOUND = re.compile(r"\[[^\[\]\x00]*\]|\([^()\x00]*\)|\*[^*\x00]+\*")
 
 
 def dialogue(text: str) -> str:
     """What is said: without numbers and times of cues, styling and sound descriptions; cues are joined."""
     text = repair(text)
     parts = cues(text)
-    whole = text if parts is None else "\x00".join(parts)
+    whole = "\x00".join(re.split(r"[\r\n]+", text) if parts is None else parts)
     if "<" in whole or "{" in whole or "\\" in whole:
         whole = _STYLE.sub("", whole)
     if "[" in whole or "(" in whole or "*" in whole:

@@ -313,6 +313,28 @@ def test_leaks_of_twelve_words_some_unread(spark, unread):
     assert sorted(map(tuple, got.collect())) == [(n, n) for n in range(40)]
 
 
+def test_weighted_shingles():
+    item = "a1a b2b c3c d4d e5e f6f g7g h8h".split()
+    doc = ["x", *item[:6], "q", "h8h"]
+    same = lambda weight, w, doc=doc: leaks.shingle_similarity(doc, item, weight, 1, 0, w)
+    assert same([1] * 8, 6) == 1.0  # a1a to f6f
+    assert same([1] * 8, 8) == 0.5  # two of four shingles
+    assert same([1, 1, 1, 1, 1, 1, 9, 1], 8) == 10 / (5 + 5 + 13 + 13)
+    assert leaks.shingle_similarity(doc[:5], item, [1] * 8, 1, 0, 6) == 0.0  # no window of six words
+    assert same([1] * 8, 3) == 1.0
+
+
+def test_leak_in_a_very_long_document(spark, monkeypatch):
+    """Slices of a document meet windows across their borders; a long styling or sound description is left out whole."""
+    monkeypatch.setattr(leaks, "SLICE", 50)
+    rng = random.Random(5)
+    fill = lambda n: [rng.choice(["yes", "no", "look", "wait", "here"]) for _ in range(n)]
+    docs = [(n, " ".join([*fill(n), *ITEM.split()[:13], *fill(200)])) for n in range(30, 60)]
+    docs.append((1, srt([" ".join(ITEM.split()[:6]) + f" [{'DOOR ' * 60}] <font {'x' * 300}>" + " ".join(ITEM.split()[6:13])])))
+    got = leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(10, ITEM)], "item_id long, passage string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 10), *((n, 10) for n in range(30, 60))]
+
+
 def test_multi_index_meets_all_within_radius():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 300).astype(np.uint64)
