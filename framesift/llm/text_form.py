@@ -5,7 +5,7 @@ kind of space, invisible characters and look-alike letters; combining marks are
 second broadcast join recomposes; the string is put together by position. All of it runs on rows partitioned once by a
 hash of the text, so code points are never shuffled. Both tables are fixed by Unicode and don't grow with the data.
 
-Kept apart: case, accents, missing spaces, digits, superscripts, circled and fraction signs, ligatures.
+Kept apart: case, accents, missing spaces, digits, superscripts, circled and fraction signs, ligatures, mathematical letters.
 Null gives null; an empty text, or one of invisible characters only, gives an empty text.
 """
 
@@ -19,13 +19,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from framesift.session import cut
+
 # Letters of other alphabets that look like Latin ones, each row the letters and what they look like.
 LOOK_ALIKES = [
-    ("АВЕЅІЈКМНОРСТУХԚԜҮ", "ABESIJKMHOPCTYXQWY"),  # Cyrillic capitals
-    ("аеосрухіјѕһԛԝԁ", "aeocpyxijshqwd"),  # Cyrillic small letters
+    ("АВЕЅІЈКМНОРСТУХӀԚԜҮ", "ABESIJKMHOPCTYXIQWY"),  # Cyrillic capitals
+    ("аеосрухіјѕһӏԛԝԁ", "aeocpyxijshlqwd"),  # Cyrillic small letters
     ("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABEZHIKMNOPTYX"),  # Greek capitals
-    ("ον", "ov"),  # Greek small letters
-    ("ՕՍԼօս", "OULou"),  # Armenian
+    ("αγινορυ", "ayivopu"),  # Greek small letters
+    ("ՕՍԼօսոհցզ", "OULounhgq"),  # Armenian
+    ("ᎠᎡᎢᎥᎪᎫᎬᎳᎷᎻᏀᏃᏏᏒᏔᏕᏙᏚᏞᏟᏢᏦᏧᏴ", "DRTiAJEWMHGZbRWSVSLCPKdB"),  # Cherokee
     ("ÐƉ", "ĐĐ"),  # barred D
 ]
 # Control characters that count as a space.
@@ -34,6 +37,7 @@ SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f\x85\u2028\u2029"
 INVISIBLE = "".join(map(chr, [0x34F, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x3164, 0xFFA0, *range(0x180B, 0x180E), *range(0xFE00, 0xFE10)]))
 
 WIDTHS = ("<wide>", "<narrow>")
+TOP = 31  # the level of windows longer than 2 ** 30 s
 
 
 def _tail(c: str) -> bool:
@@ -118,14 +122,22 @@ def find_same_reading(frames: DataFrame, labels: DataFrame) -> DataFrame:
     """Labels and frames of the label's video and window whose `ocr_text` or `llm_caption` reads like `query` but is stored
     otherwise: `label_id`, `keyframe_id`, `field`.
 
-    A key delivered twice counts once; rows with a null key, video, time, window bound or text give no case; a reversed
-    window covers nothing. The join is on video and consistent form, so no two texts that read differently ever meet.
+    A key delivered twice counts once; rows with a null key, video, time, window bound or text, or one that is NaN, give no case; a
+    reversed window covers nothing. The join is on video, consistent form and time: a window is looked up in the one or two stretches that
+    it touches of the power of two seconds next above its length, and a frame is entered in its stretch of each length that occurs. So a
+    frequent reading of a hot video isn't one key, and what meets mostly is a case.
     """
-    k = frames.where("id is not null and video_id is not null and timestamp is not null").select("id", "video_id", "timestamp", "ocr_text", "llm_caption").dropDuplicates(["id"])
+    k = frames.where("id is not null and video_id is not null and timestamp is not null and not isnan(timestamp)").select("id", "video_id", "timestamp", "ocr_text", "llm_caption").dropDuplicates(["id"])
     k = k.select("id", "video_id", "timestamp", F.expr("stack(2, 'ocr_text', ocr_text, 'llm_caption', llm_caption) as (field, text)")).where("text is not null")
-    q = labels.where("label_id is not null and query is not null and video_id is not null and time_window[0] < time_window[1]")
+    q = labels.where("label_id is not null and query is not null and video_id is not null and time_window[0] < time_window[1] and not isnan(time_window[1])")
     q = q.select("label_id", "video_id", F.col("query").alias("text"), F.expr("time_window[0]").alias("lo"), F.expr("time_window[1]").alias("hi")).dropDuplicates(["label_id"])
-    forms = consistent_texts(k.select("text").unionAll(q.select("text")))
-    k, q = k.join(forms, "text"), q.join(forms, "text").withColumnRenamed("text", "query").withColumnRenamed("video_id", "v").withColumnRenamed("form", "g")
-    on = (F.col("v") == F.col("video_id")) & (F.col("g") == F.col("form")) & (F.col("timestamp") >= F.col("lo")) & (F.col("timestamp") < F.col("hi")) & (F.col("query") != F.col("text"))
-    return k.join(q, on).select("label_id", F.col("id").alias("keyframe_id"), "field")
+    forms = cut(consistent_texts(k.select("text").unionAll(q.select("text"))))  # read twice below
+    stretch = lambda t: F.when(F.col("level") == TOP, 0).otherwise(F.floor(t / F.pow(F.lit(2.0), F.col("level"))).cast("bigint"))
+    long = F.col("hi") - F.col("lo")
+    q = q.withColumn("level", F.when(long > 2.0**30, TOP).otherwise(F.greatest(F.lit(0), F.ceil(F.log2(long)))).cast("int"))
+    levels = sorted(r["level"] for r in q.select("level").distinct().collect())  # at most TOP + 1
+    q = q.join(forms, "text").withColumnsRenamed({"text": "query", "form": "reads"})
+    q = q.select("label_id", "query", "reads", "lo", "hi", F.col("video_id").alias("v"), F.col("level").alias("l"), F.explode(F.array_distinct(F.array(stretch(F.col("lo")), stretch(F.col("hi"))))).alias("s"))
+    k = k.join(forms, "text").withColumn("level", F.explode(F.array(*map(F.lit, levels or [0])))).withColumn("stretch", stretch(F.col("timestamp")))
+    on = (F.col("v") == F.col("video_id")) & (F.col("reads") == F.col("form")) & (F.col("l") == F.col("level")) & (F.col("s") == F.col("stretch"))
+    return k.join(q, on).where((F.col("timestamp") >= F.col("lo")) & (F.col("timestamp") < F.col("hi")) & (F.col("query") != F.col("text"))).select("label_id", F.col("id").alias("keyframe_id"), "field")

@@ -55,6 +55,23 @@ def test_same_reading(spark):
     assert text_form.find_same_reading(frames.limit(0), labels.limit(0)).collect() == []
 
 
+def test_same_reading_of_any_window(spark):
+    """Windows of all lengths, at borders of stretches, before 0 and without end, against all pairs."""
+    rng = random.Random(9)
+    inf, nan = float("inf"), float("nan")
+    frames = [(f"f{i}", rng.choice("vw"), rng.choice([None, nan, -4.0, 0.0, 7.9999, 8.0, 16.0, rng.uniform(-50, 5e3)]), rng.choice(["AB", "ΑB", "АВ", "x"]), rng.choice([None, "", "ＡＢ"])) for i in range(250)]
+    labels = []
+    for i in range(150):
+        lo = rng.choice([0.0, 8.0, -4.0, rng.uniform(-60, 5e3)])
+        labels.append((i, rng.choice(["AB", "ΑΒ"]), rng.choice("vw"), [lo, rng.choice([lo + 0.5, lo + 8, lo + rng.uniform(0, 3000), lo - 1, 1e12, inf, nan])]))
+    k = spark.createDataFrame(frames, "id string, video_id string, timestamp double, ocr_text string, llm_caption string")
+    q = spark.createDataFrame(labels, "label_id long, query string, video_id string, time_window array<double>")
+    got = sorted(map(tuple, text_form.find_same_reading(k, q).collect()))
+    alike = {"AB", "ΑB", "АВ", "ＡＢ", "ΑΒ"}
+    want = sorted((n, i, f) for n, t, v, (lo, hi) in labels for i, w, ts, *xs in frames for f, x in zip(("ocr_text", "llm_caption"), xs, strict=True) if v == w and ts is not None and lo <= ts < hi and x in alike and x != t)
+    assert got == want
+
+
 # --- similar vectors
 
 
