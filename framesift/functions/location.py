@@ -1,44 +1,42 @@
-"""The place that a question names; too branchy for expressions, so it runs on Arrow batches."""
+"""The place that a question names, as an expression."""
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from framesift.functions.text import TIMES
+from framesift.functions.text import TIMES, let
 
 # What introduces a place, what ends it, and what isn't one.
-MARKS = ("ở ", "tại ", "trong ", "trên ")
-END = re.compile(r"[,.;?]| và | rồi | trước | sau |\s+có\s+")
-NOT_A_PLACE = {"video", "đoạn video", "phim", "đoạn phim", "ảnh", "hình"}
-QUESTION = ("bao nhiêu", "đếm", "mấy")
-
-
-def find_location(text: str | None) -> str | None:
-    """What follows the first mark that is followed by a place of at most six words; None without one."""
-    if text is None:
-        return None
-    low = text.lower()
-    for mark in MARKS:
-        _, found, _ = low.partition(mark)
-        if not found:
-            continue
-        place = END.split(text[low.index(mark) + len(mark) :], maxsplit=1)[0].strip()
-        cut = next((place.lower().index(t) for t in TIMES if t in place.lower()), None)
-        place = place if cut is None else place[:cut].strip()
-        key = place.lower()
-        if place and key not in NOT_A_PLACE and not any(q in key for q in QUESTION) and len(place.split()) <= 6:
-            return place
-    return None
+MARKS = ["ở ", "tại ", "trong ", "trên "]
+ENDS = r"[,.;?]| và | rồi | trước | sau |\s+có\s+"
+NOT_A_PLACE = ["video", "đoạn video", "phim", "đoạn phim", "ảnh", "hình"]
+QUESTION = ["bao nhiêu", "đếm", "mấy"]
+WORDS = 6
+
+
+def _before_time(place: Column) -> Column:
+    """A place up to the longest time phrase in it."""
+    low = F.lower(place)
+    longest = sorted(TIMES, key=len, reverse=True)
+    return F.coalesce(*(F.when(F.contains(low, F.lit(t)), F.trim(F.substring_index(low, t, 1))) for t in longest), low)
 
 
 def location(text: Column) -> Column:
-    """find_location over a column; it needs a session, so it is made when it is called."""
+    """What follows the first mark that a place of at most six words follows; null without one. Case is kept."""
+
+    def after(mark: str) -> Column:
+        rest = F.when(F.contains(F.lower(text), F.lit(mark)), F.substr(text, F.instr(F.lower(text), mark) + len(mark)))
+        clause = F.trim(F.regexp_extract(rest, rf"(?s)^(.*?)(?:{ENDS}|$)", 1))
+
+        def named(clause: Column) -> Column:
+            short = _before_time(clause)
+            asks = F.lit(False)
+            for q in QUESTION:
+                asks = asks | F.contains(short, F.lit(q))
+            fits = (short != "") & ~short.isin(NOT_A_PLACE) & ~asks & (F.size(F.split(short, r"\s+")) <= WORDS)
+            return F.when(fits, F.trim(F.substring(clause, F.lit(1), F.length(short))))
 
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(find_location)
+        return let(clause, named)
 
-    return F.pandas_udf(run, "string")(text)
+    return F.coalesce(*map(after, MARKS))

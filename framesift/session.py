@@ -7,8 +7,12 @@ import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+# Hadoop's names of schemes and Arrow's.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasb": "abfs", "wasbs": "abfss"}
+
 
 def get_spark(app: str = "framesift", master: str | None = None, partitions: int | None = None) -> SparkSession:
     """A session with the settings the engine expects; settings given on the command line win."""
@@ -42,11 +46,16 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir. Where it is unset (tests), a fresh local folder is set."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset, a fresh local folder is set on a local master, as in tests;
+    a cluster's machines wouldn't share it, so a RuntimeError is raised there."""
     sc = spark.sparkContext
     at = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        at = getattr(sc, "_framesift_dir", None) or "file://" + tempfile.mkdtemp(prefix="framesift-")
+        at = getattr(sc, "_framesift_dir", None)
+        if not at:
+            if not sc.master.startswith("local"):
+                raise RuntimeError(f"spark.checkpoint.dir must name a folder that the machines of {sc.master} share")
+            at = "file://" + tempfile.mkdtemp(prefix="framesift-")
         sc._framesift_dir = at
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         sc.setCheckpointDir(at)
@@ -54,8 +63,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new path below the shared folder. What lies there is read lazily; `clear` deletes it once results are written."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    spark.sparkContext._framesift_paths = [*getattr(spark.sparkContext, "_framesift_paths", []), path]
+    return path
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that shared_path gave out. DataFrames that read it can't be used afterwards; checkpoints are the session's cleaner's."""
+    for path in getattr(spark.sparkContext, "_framesift_paths", []):
+        remove(spark, path)
+    spark.sparkContext._framesift_paths = []
+
+
+def shared_fs(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The Arrow file system and path of a URI as Hadoop writes it.
+
+    A URI without scheme is a local path; schemes that Arrow doesn't know raise its error."""
+    scheme, found, rest = uri.partition(":")
+    if not found:
+        return pafs.LocalFileSystem(), uri
+    return pafs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}:{rest}")
 
 
 def cut(df: DataFrame) -> DataFrame:
