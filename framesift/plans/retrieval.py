@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from framesift.functions import text as T
 from framesift.functions import vectors as V
 from framesift.operators import bm25, dense, dialogue, filters, fusion
-from framesift.plans.base import CLIP, SIGLIP, C, K, L, candidates, clips, frames, labels, ok, query
+from framesift.plans.base import CLIP, SIGLIP, C, K, L, candidates, clips, frames, labels, ok, query, stored
 from framesift.session import table
 
 PRINT = "round(list_sum(list_transform({v}, lambda x, i: x * i)), 6)"
@@ -93,7 +93,9 @@ def search_similar(s: SparkSession, d: str) -> DataFrame:
 
 @query("ann_ivf")
 def ann_ivf(s: SparkSession, d: str) -> DataFrame:
-    return dense.ivf_knn(*_knn(s, d), "vec_id", "embedding", "query", "qv", 10, CLIP)
+    e, q = _knn(s, d)
+    index = stored(s, d, "ivf", "embeddings", lambda: dense.ivf_build(e, "vec_id", "embedding", CLIP))
+    return dense.ivf_search(index, q, "query", "qv", 10, CLIP)
 
 
 @query("ann_lsh")
@@ -182,11 +184,15 @@ def tokenize(s: SparkSession, d: str) -> DataFrame:
 
 @query("bm25_stats", f"with {_BM25} select tok, df, round(idf, 6) as idf from idf")
 def bm25_stats(s: SparkSession, d: str) -> DataFrame:
-    return bm25.term_stats(bm25.postings(_searchable(s, d), "id", "text"), "id").select("tok", "df", F.round("idf", 6).alias("idf"))
+    return _index(s, d).stats.select("tok", "df", F.round("idf", 6).alias("idf"))
 
 
-def _bm25(s: SparkSession, d: str) -> DataFrame:
-    return bm25.scores(_searchable(s, d), _asked(s, d), "id", "text", "label_id", "query")
+def _index(s: SparkSession, d: str) -> bm25.Index:
+    return stored(s, d, "bm25", "keyframes", lambda: bm25.build(_searchable(s, d), "id", "text"))
+
+
+def _bm25(s: SparkSession, d: str, among: DataFrame | None = None) -> DataFrame:
+    return bm25.score(_index(s, d), _asked(s, d), "label_id", "query", among)
 
 
 _RANKED = "row_number() over (partition by label_id order by round(score, 6) desc, id) rank"
@@ -201,7 +207,7 @@ def bm25_topk(s: SparkSession, d: str) -> DataFrame:
 def bm25_filtered(s: SparkSession, d: str) -> DataFrame:
     """Only frames of the label's video are ranked; the statistics stay those of all frames."""
     own = _asked(s, d).select("label_id", "video_id").join(frames(s, d, "video_id"), "video_id").select("label_id", "id")
-    return bm25.top_k(_bm25(s, d).join(own, ["label_id", "id"], "left_semi"), "label_id", "score", "id", 10).withColumn("score", F.round("score", 6))
+    return bm25.top_k(_bm25(s, d, own), "label_id", "score", "id", 10).withColumn("score", F.round("score", 6))
 
 
 _FUSED = """{lists}, fused as (select label_id, id, sum(s) score, min({'l': lst, 'r': rank}) f, string_agg(name || ':' || rank, ',' order by lst) sources from lists group by label_id, id),

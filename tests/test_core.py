@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from framesift.functions import text as T
 from framesift.functions import vectors as V
-from framesift.functions.location import find_location
+from framesift.functions.location import location
 from framesift.operators import bm25, dedup, dense, dialogue, filters, fusion, sessions, temporal, tools
 from framesift.operators import metrics as M
 from framesift.sources import keyframes
@@ -34,8 +34,9 @@ def test_text_functions(spark):
         T.expand(F.lit("x"), 0)
     assert one(spark, T.tags_to_attributes(F.array(F.lit("a:b:c"), F.lit("plain")))) == {"a": "b:c"}
     assert one(spark, T.json_part(F.lit('x {"a": {"b": 1}} y'))) == '{"a": {"b": 1}}'
-    assert find_location("Cô ấy ngồi ở quán cà phê tuần trước, một mình") == "quán cà phê"
-    assert find_location("trong video có bao nhiêu người") is None and find_location(None) is None
+    places = {"Cô ấy ngồi ở Quán cà phê tuần trước, một mình": "Quán cà phê", "trong video có bao nhiêu người": None, None: None, "": None, "Ai đi ở công viên có hoa?": "công viên", "ở a b c d e f g rồi trên đường": "đường"}
+    q = spark.createDataFrame([(x,) for x in places], "q string")
+    assert {r.q: r.l for r in q.select("q", location(F.col("q")).alias("l")).collect()} == places
 
 
 def test_vectors(spark):
