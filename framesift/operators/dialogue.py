@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from framesift.functions import text as T
 from framesift.functions import vectors as V
 
 
@@ -26,9 +29,12 @@ def best_attribute(entropies: DataFrame, asked: list[str] = ()) -> DataFrame:
 
 def confidence(ranked: DataFrame, by: str, score: str, most: int, gap: float) -> DataFrame:
     """`by`, `n`, `gap`, `confident`: few candidates, or a clear distance between the two best scores."""
-    w = Window.partitionBy(by).orderBy(F.col(score).desc())
-    top = ranked.where(F.col(score).isNotNull() & ~F.isnan(score)).withColumn("r", F.row_number().over(w))
-    s = top.groupBy(by).agg(F.count("*").alias("n"), F.max(F.when(F.col("r") == 1, F.col(score))).alias("a"), F.max(F.when(F.col("r") == 2, F.col(score))).alias("b"))
+    some = ranked.where(F.col(score).isNotNull() & ~F.isnan(score))
+    # scores are counted before they meet, so a group's many rows don't gather: a is the best, b the next, which may be equal
+    counts = some.groupBy(by, F.col(score).alias("x")).agg(F.count("*").alias("m"))
+    best = counts.groupBy(by).agg(F.sum("m").alias("n"), F.max(F.struct("x", "m")).alias("top"))
+    next_ = counts.join(best.select(by, F.col("top.x").alias("t")), by).where("x < t").groupBy(by).agg(F.max("x").alias("second"))
+    s = best.join(next_, by, "left").select(by, "n", F.col("top.x").alias("a"), F.when(F.col("top.m") > 1, F.col("top.x")).otherwise(F.col("second")).alias("b"))
     d = F.round(F.col("a") - F.col("b"), 6)
     return s.select(by, "n", d.alias("gap"), ((F.col("n") <= most) | F.coalesce(d >= gap, F.lit(True))).alias("confident"))
 
@@ -77,16 +83,26 @@ def shrink_size(n: Column, share: float = 0.5, least: int = 3) -> Column:
     return F.greatest(F.lit(least), F.least(F.ceil(n * share), F.greatest(n - 1, F.lit(1))))
 
 
-def diverse_pick(items: list[tuple[str, list[float]]], k: int) -> list[str]:
-    """Greedy farthest-point choice of k of the few candidates of one query, beginning with the first; the first of equal ones."""
-    import numpy as np
-
-    if not items:
-        return []
-    x = np.array([v for _, v in items], np.float64)
-    chosen = [0]
-    while len(chosen) < min(k, len(items)):
-        d = np.round(np.sqrt(((x[:, None] - x[chosen]) ** 2).sum(2)).min(1), 9)
-        d[chosen] = -1
-        chosen.append(int(np.argmax(d)))
-    return [items[i][0] for i in chosen]
+def suggest_concepts(rows: DataFrame, by: str, order: str, query: str, texts: Sequence[str], top_n: int = 8, stop: Sequence[str] = tuple(T.STOP_WORDS)) -> DataFrame:
+    """`by`, `tok`, `n`, `rank`: the most frequent words of each group's texts, of three letters or more, neither in the group's query nor
+    among the stop words; of equally frequent ones the first seen, rows by `order`, texts as given."""
+    words = T.tokenize(F.array_join(F.filter(F.array(*texts), lambda x: x.isNotNull() & (x != "")), " "))
+    toks = rows.select(by, F.col(order).alias("o"), T.tokenize(F.col(query)).alias("asked"), F.posexplode(words).alias("p", "tok"))
+    toks = toks.where((F.length("tok") >= 3) & ~F.coalesce(F.array_contains("asked", F.col("tok")), F.lit(False)) & ~F.col("tok").isin(list(stop)))
+    n = toks.groupBy(by, "tok").agg(F.count("*").alias("n"), F.min(F.struct("o", "p")).alias("first"))
+    w = Window.partitionBy(by).orderBy(F.col("n").desc(), "first")
+    return n.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top_n).select(by, "tok", "n", "rank")
+
+
+def diverse_pick(rows: DataFrame, by: str, rank: str, key: str, vector: str, k: int = 4, most: int = 50) -> DataFrame:
+    """`by`, `key`, `pick`: of each group's `most` first rows k that differ most: the first, then again and again the one farthest (Euclid)
+    from all picked so far; of equally far ones the first. Rows without vector take no part; a group holds `most` rows at most."""
+    first = rows.where(F.col(vector).isNotNull()).withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy(rank, key))).where(F.col("r") <= most)
+    item = F.struct((-F.col("r")).alias("r"), F.col(key).alias("key"), V.as_double(F.col(vector)).alias("v"))
+    groups = first.groupBy(by).agg(F.sort_array(F.collect_list(item), asc=False).alias("items")).withColumn("picked", F.slice("items", 1, 1))
+    far = lambda a, b: F.round(F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)), 9)
+    for _ in range(1, k):
+        rest = F.filter("items", lambda x: ~F.exists("picked", lambda p: p["r"] == x["r"]))
+        best = F.array_max(F.transform(rest, lambda x: F.struct(F.array_min(F.transform("picked", lambda p: far(x["v"], p["v"]))).alias("d"), x["r"].alias("r"), x["key"].alias("key"), x["v"].alias("v"))))
+        groups = groups.withColumn("best", best).withColumn("picked", F.when(F.col("best").isNull(), F.col("picked")).otherwise(F.concat("picked", F.array(F.struct("best.r", "best.key", "best.v")))))
+    return groups.select(by, F.posexplode("picked").alias("pick", "x")).select(by, F.col("x.key").alias(key), (F.col("pick") + 1).alias("pick"))

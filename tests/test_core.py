@@ -158,19 +158,22 @@ def test_dialogue(spark):
     e = {r.attribute: r.entropy for r in dialogue.entropy(df, ["a", "b"]).collect()}
     assert e["a"] == pytest.approx(0.918296) and e["b"] == pytest.approx(0.811278)
     assert dialogue.best_attribute(dialogue.entropy(df, ["a", "b"]), ["a"]).head().attribute == "b"
-    assert dialogue.diverse_pick([("a", [0, 0]), ("b", [0, 1]), ("c", [5, 0]), ("d", [5, 0])], 3) == ["a", "c", "b"]
+    rows = [(7, n, i, v) for n, (i, v) in enumerate([("a", [0.0, 0.0]), ("b", [0.0, 1.0]), ("x", None), ("c", [5.0, 0.0]), ("d", [5.0, 0.0])])] + [(8, 0, "z", [1.0, 1.0]), (9, 0, "y", None)]
+    picked = dialogue.diverse_pick(spark.createDataFrame(rows, "q int, rank int, id string, vec array<double>"), "q", "rank", "id", "vec", 3)
+    assert sorted((r.q, r.pick, r.id) for r in picked.collect()) == [(7, 1, "a"), (7, 2, "c"), (7, 3, "b"), (8, 1, "z")]
+    ranked = spark.createDataFrame([(1, 0.9), (1, 0.9), (1, 0.1), (2, 0.5), (3, 0.7), (3, 0.2), (3, None), (3, float("nan"))], "q int, s double")
+    assert sorted((r.q, r.n, r.gap, r.confident) for r in dialogue.confidence(ranked, "q", "s", 0, 0.15).collect()) == [(1, 3, 0.0, False), (2, 1, None, True), (3, 2, 0.5, True)]
     m = sessions.Memory()
     m.add("q", positive=["a", "b"], negative=["b"])
     m.add("r", positive=["b"])
     assert m.positive() == ["a", "b"] and m.recent(0) == []
     d = sessions.Dialogue(max_turns=3)
-    assert d.decide(0, False, "x")[0] == "rephrase" and d.decide(9, False, "x")[0] == "finish"
+    # both speakers' turns count, so the turns have the numbers 0, 2, 4
+    assert [d.decide(n, False, "x")[0] for n in (0, 9, 9)] == ["rephrase", "ask", "finish"] and d.finished
 
 
-def test_tools(spark):
-    f = spark.createDataFrame([("a", "v", 1.0)], "id string, video_id string, timestamp double")
-    r = tools.frame_tools(f)
-    assert r.call("explore").items.count() == 1 and not r.call("none").ok and not r.call("explore", wrong=1).ok
+def test_route():
+    assert tools.route("x") == "search" and tools.route("", image=True) == "search_by_image" and tools.route("x", feedback=True) == "search_with_feedback"
     assert tools.route("x", image=True) == "search_multimodal" and tools.route("x", ordered=True) == "search_temporal"
 
 
