@@ -61,9 +61,10 @@ def rocchio(query: Column, positive: Column, negative: Column, alpha: float = 1.
 
 
 def multimodal(text: Column, image: Column, weight: float = 0.5) -> Column:
-    """The blend of a text and an image vector at unit length; one of them if the other is null."""
+    """The blend of a text and an image vector at unit length; one of them, at unit length, if the other is null. An error for two nulls."""
     both = V.l2_normalize(V.add(text, image, weight, 1 - weight))
-    return F.when(image.isNull(), V.as_double(text)).when(text.isNull(), V.as_double(image)).otherwise(both)
+    one = F.when(image.isNull(), V.l2_normalize(text)).when(text.isNull(), V.l2_normalize(image)).otherwise(both)
+    return F.when(text.isNull() & image.isNull(), F.raise_error(F.lit("a blend needs a text or an image"))).otherwise(one)
 
 
 def early_stop(scored: DataFrame, by: str, order: str, score: str, least: int = 5, margin: float = 0.2, pool: int = 50) -> DataFrame:
@@ -99,10 +100,14 @@ def diverse_pick(rows: DataFrame, by: str, rank: str, key: str, vector: str, k:
     from all picked so far; of equally far ones the first. Rows without vector take no part; a group holds `most` rows at most."""
     first = rows.where(F.col(vector).isNotNull()).withColumn("r", F.row_number().over(Window.partitionBy(by).orderBy(rank, key))).where(F.col("r") <= most)
     item = F.struct((-F.col("r")).alias("r"), F.col(key).alias("key"), V.as_double(F.col(vector)).alias("v"))
-    groups = first.groupBy(by).agg(F.sort_array(F.collect_list(item), asc=False).alias("items")).withColumn("picked", F.slice("items", 1, 1))
+    groups = first.groupBy(by).agg(F.sort_array(F.collect_list(item), asc=False).alias("items"))
     far = lambda a, b: F.round(F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)), 9)
-    for _ in range(1, k):
-        rest = F.filter("items", lambda x: ~F.exists("picked", lambda p: p["r"] == x["r"]))
-        best = F.array_max(F.transform(rest, lambda x: F.struct(F.array_min(F.transform("picked", lambda p: far(x["v"], p["v"]))).alias("d"), x["r"].alias("r"), x["key"].alias("key"), x["v"].alias("v"))))
-        groups = groups.withColumn("best", best).withColumn("picked", F.when(F.col("best").isNull(), F.col("picked")).otherwise(F.concat("picked", F.array(F.struct("best.r", "best.key", "best.v")))))
-    return groups.select(by, F.posexplode("picked").alias("pick", "x")).select(by, F.col("x.key").alias(key), (F.col("pick") + 1).alias("pick"))
+
+    def step(picked: Column, _: Column) -> Column:
+        rest = F.filter("items", lambda x: ~F.exists(picked, lambda p: p["r"] == x["r"]))
+        by_distance = F.transform(rest, lambda x: F.struct(F.array_min(F.transform(picked, lambda p: far(x["v"], p["v"]))).alias("d"), x["r"].alias("r"), x["key"].alias("key"), x["v"].alias("v")))
+        best = F.slice(F.sort_array(by_distance, asc=False), 1, 1)
+        return F.concat(picked, F.transform(best, lambda b: F.struct(b["r"].alias("r"), b["key"].alias("key"), b["v"].alias("v"))))
+
+    picked = F.aggregate(F.array(*map(F.lit, range(1, k))), F.slice("items", 1, 1), step) if k > 1 else F.slice("items", 1, 1)
+    return groups.select(by, F.posexplode(picked).alias("pick", "x")).select(by, F.col("x.key").alias(key), (F.col("pick") + 1).alias("pick"))

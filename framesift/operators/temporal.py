@@ -30,6 +30,17 @@ def event_chains(events: list[DataFrame], per_video: int | None = None) -> DataF
     return out.withColumn("total", total).drop(*(f"s_{n}" for n in range(1, len(parts) + 1)))
 
 
+def has_chain(events: list[DataFrame], videos: DataFrame) -> DataFrame:
+    """`video_id`, `valid`: whether each of videos has a chain of the events at strictly increasing times.
+
+    The first time of each event after that of the event before decides, so chains aren't listed."""
+    at = events[0].groupBy("video_id").agg(F.min("t").alias("t"))
+    for e in events[1:]:
+        later = e.select(F.col("video_id").alias("v"), F.col("t").alias("u"))
+        at = at.join(later, (F.col("video_id") == F.col("v")) & (F.col("u") > F.col("t"))).groupBy("video_id").agg(F.min("u").alias("t"))
+    return videos.join(at, "video_id", "left").select("video_id", F.col("t").isNotNull().alias("valid"))
+
+
 def segment_asof(frames: DataFrame, segments: DataFrame, tolerance: float = 2.0, bucket: float = 60.0) -> DataFrame:
     """`id`, `segment_id`, `transcript`, `gap`: the first segment that covers a frame's time ([start, end)), else the one with the nearest
     end within tolerance; frames without one are left out.

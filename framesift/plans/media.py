@@ -20,9 +20,7 @@ def relevant_ids(s: SparkSession, d: str) -> DataFrame:
     return temporal.relevant(frames(s, d, "video_id", "timestamp"), labels(s, d))
 
 
-_EV = """ev as (select event_id id, user_id video_id, ts t, value score, event_type from events),
-e as (select * from (select *, row_number() over (partition by video_id, event_type order by score desc, id) r from ev) where r <= 4)"""
-_CHAIN2 = f"with {_EV} select a.video_id, a.id as id_1, b.id as id_2, round(a.score + b.score, 6) as total from e a join e b on a.video_id = b.video_id and a.t < b.t and a.event_type = 'view' and b.event_type = 'purchase'"
+_ALL = "with e as (select event_id id, user_id video_id, ts t, value score, event_type from events)"
 
 
 def _events(s: SparkSession, d: str, *kinds: str) -> list[DataFrame]:
@@ -30,38 +28,30 @@ def _events(s: SparkSession, d: str, *kinds: str) -> list[DataFrame]:
     return [e.where(F.col("event_type") == k).drop("event_type") for k in kinds]
 
 
-@query("temporal_chain_2", _CHAIN2)
+@query("temporal_chain_2", _ALL + " select a.video_id, a.id as id_1, b.id as id_2, round(a.score + b.score, 6) as total from e a join e b on a.video_id = b.video_id and a.t < b.t where a.event_type = 'view' and b.event_type = 'purchase'")
 def temporal_chain_2(s: SparkSession, d: str) -> DataFrame:
-    return temporal.event_chains(_events(s, d, "view", "purchase"), 4).select("video_id", "id_1", "id_2", F.round("total", 6).alias("total"))
+    return temporal.event_chains(_events(s, d, "view", "purchase")).select("video_id", "id_1", "id_2", F.round("total", 6).alias("total"))
 
 
-@query("temporal_chain_3", f"""with {_EV} select a.video_id, a.id as id_1, b.id as id_2, x.id as id_3, round(a.score + b.score + x.score, 6) as total from e a join e b on a.video_id = b.video_id and a.t < b.t
+@query("temporal_chain_3", _ALL + """ select a.video_id, a.id as id_1, b.id as id_2, x.id as id_3, round(a.score + b.score + x.score, 6) as total from e a join e b on a.video_id = b.video_id and a.t < b.t
 join e x on x.video_id = b.video_id and b.t < x.t where a.event_type = 'signup' and b.event_type = 'click' and x.event_type = 'error'""")
 def temporal_chain_3(s: SparkSession, d: str) -> DataFrame:
-    return temporal.event_chains(_events(s, d, "signup", "click", "error"), 4).select("video_id", "id_1", "id_2", "id_3", F.round("total", 6).alias("total"))
-
-
-_ALL = "with e as (select event_id id, user_id video_id, ts t, value score, event_type from events)"
-
-
-@query("temporal_chain_2_exact", _ALL + " select a.video_id, a.id as id_1, b.id as id_2, round(a.score + b.score, 6) as total from e a join e b on a.video_id = b.video_id and a.t < b.t where a.event_type = 'view' and b.event_type = 'purchase'")
-def temporal_chain_2_exact(s: SparkSession, d: str) -> DataFrame:
-    """All chains; temporal_chain_2 has those of the four best events of each kind per user."""
-    return temporal.event_chains(_events(s, d, "view", "purchase")).select("video_id", "id_1", "id_2", F.round("total", 6).alias("total"))
+    return temporal.event_chains(_events(s, d, "signup", "click", "error")).select("video_id", "id_1", "id_2", "id_3", F.round("total", 6).alias("total"))
 
 
-@query("temporal_chain_3_exact", _ALL + """ select a.video_id, a.id as id_1, b.id as id_2, x.id as id_3, round(a.score + b.score + x.score, 6) as total from e a join e b on a.video_id = b.video_id and a.t < b.t
-join e x on x.video_id = b.video_id and b.t < x.t where a.event_type = 'signup' and b.event_type = 'click' and x.event_type = 'error'""")
-def temporal_chain_3_exact(s: SparkSession, d: str) -> DataFrame:
-    """All chains; temporal_chain_3 has those of the four best events of each kind per user."""
-    return temporal.event_chains(_events(s, d, "signup", "click", "error")).select("video_id", "id_1", "id_2", "id_3", F.round("total", 6).alias("total"))
+@query("temporal_chain_best", _ALL + """, p as (select * from (select *, row_number() over (partition by video_id, event_type order by score desc, id) r from e) where r <= 20)
+select a.video_id, a.id as id_1, b.id as id_2, round(a.score + b.score, 6) as total from p a join p b on a.video_id = b.video_id and a.t < b.t where a.event_type = 'view' and b.event_type = 'purchase' order by total desc, a.t, a.video_id, b.t, a.id, b.id limit 50""")
+def temporal_chain_best(s: SparkSession, d: str) -> DataFrame:
+    """The fifty best chains of each user's twenty best events of a kind, as a search for two scenes gives them."""
+    chains = temporal.event_chains(_events(s, d, "view", "purchase"), 20).withColumn("total", F.round("total", 6))
+    return chains.orderBy(F.col("total").desc(), "t_1", "video_id", "t_2", "id_1", "id_2").limit(50).select("video_id", "id_1", "id_2", "total")
 
 
-@query("has_valid_ordering", "with e as (select user_id video_id, min(case event_type when 'view' then ts end) a, max(case event_type when 'purchase' then ts end) b from events group by user_id) select video_id, coalesce(a < b, false) as valid from e")
+@query("has_valid_ordering", _ALL + """, u as (select distinct video_id from e), c as (select distinct a.video_id from e a join e b on a.video_id = b.video_id and a.t < b.t join e x on x.video_id = b.video_id and b.t < x.t
+where a.event_type = 'signup' and b.event_type = 'click' and x.event_type = 'error') select video_id, c.video_id is not null as valid from u left join c using (video_id)""")
 def has_valid_ordering(s: SparkSession, d: str) -> DataFrame:
-    """A chain of two exists if the first view is before the last purchase."""
-    e = table(s, d, "events").groupBy(F.col("user_id").alias("video_id")).agg(F.min(F.when(F.col("event_type") == "view", F.col("ts"))).alias("a"), F.max(F.when(F.col("event_type") == "purchase", F.col("ts"))).alias("b"))
-    return e.select("video_id", F.coalesce(F.col("a") < F.col("b"), F.lit(False)).alias("valid"))
+    """Whether a user has a signup, then a click, then an error."""
+    return temporal.has_chain(_events(s, d, "signup", "click", "error"), table(s, d, "events").select(F.col("user_id").alias("video_id")).distinct())
 
 
 @query("common_videos", "select user_id as video_id from events where event_type = 'view' intersect select user_id from events where event_type = 'purchase' intersect select user_id from events where event_type = 'error'")
@@ -82,9 +72,9 @@ def segment_asof(s: SparkSession, d: str) -> DataFrame:
 _N = f"{K}, n as (select *, row_number() over (partition by video_id order by ts, id) n, count(*) over (partition by video_id) len from k where video_id is not null and ts is not null)"
 
 
-@query("neighbors", f"with {_N}, {L}, x as (select distinct keyframe_id id from candidates where cand_id % 50 = 0), c as (select n.* from n join x using (id)) select c.id as center, n.id as id, (n.n - c.n)::bigint as \"offset\" from c join n on c.video_id = n.video_id and n.n between c.n - 2 and c.n + 2")
+@query("neighbors", f"with {_N}, {L}, x as (select distinct keyframe_id id from candidates), c as (select n.* from n join x using (id)) select c.id as center, n.id as id, (n.n - c.n)::bigint as \"offset\" from c join n on c.video_id = n.video_id and n.n between c.n - 2 and c.n + 2")
 def neighbors(s: SparkSession, d: str) -> DataFrame:
-    chosen = candidates(s, d).where("cand_id % 50 = 0").select(F.col("keyframe_id").alias("id"))
+    chosen = candidates(s, d).select(F.col("keyframe_id").alias("id"))
     return temporal.neighbors(frames(s, d, "video_id", "timestamp"), chosen).select("center", "id", F.col("offset").cast("bigint").alias("offset"))
 
 

@@ -165,8 +165,8 @@ def _searchable(s: SparkSession, d: str) -> DataFrame:
     return k.select("id", T.searchable_text(F.col("objects"), F.col("ocr_text"), F.col("asr_text"), F.col("llm_caption")).alias("text"))
 
 
-def _asked(s: SparkSession, d: str) -> DataFrame:
-    return labels(s, d).where("label_id % 50 = 0 and query is not null").select("label_id", "query", "video_id")
+def _asked(s: SparkSession, d: str, every: int = 50) -> DataFrame:
+    return labels(s, d).where(f"label_id % {every} = 0 and query is not null").select("label_id", "query", "video_id")
 
 
 _BM25 = f"""{K}, {L}, t as (select id, case when len(w) = 0 then ['∅'] else w end w from (select id, regexp_extract_all(lower({_TEXT}), '[\\p{{L}}\\p{{N}}_]+') w from k)),
@@ -191,8 +191,8 @@ def _index(s: SparkSession, d: str) -> bm25.Index:
     return stored(s, d, "bm25", "keyframes", lambda: bm25.build(_searchable(s, d), "id", "text"))
 
 
-def _bm25(s: SparkSession, d: str, among: DataFrame | None = None) -> DataFrame:
-    return bm25.score(_index(s, d), _asked(s, d), "label_id", "query", among)
+def _bm25(s: SparkSession, d: str, among: DataFrame | None = None, every: int = 50) -> DataFrame:
+    return bm25.score(_index(s, d), _asked(s, d, every), "label_id", "query", among)
 
 
 _RANKED = "row_number() over (partition by label_id order by round(score, 6) desc, id) rank"
@@ -230,10 +230,10 @@ def _lists(depth: int, sparse: float | None) -> str:
 _OUT = " select label_id, id, round(score, 6) as score, sources, rank from o where rank <= 10"
 
 
-def _dense_lists(s: SparkSession, d: str, depth: int) -> dict[str, DataFrame]:
+def _dense_lists(s: SparkSession, d: str, depth: int, every: int = 50) -> dict[str, DataFrame]:
     """Each label's first frame of its video, by id, stands for the encoded query."""
     e = clips(s, d).select("id", "video_id", "vec")
-    asked = _asked(s, d).select("label_id", "video_id")
+    asked = _asked(s, d, every).select("label_id", "video_id")
     seeds = asked.join(e, "video_id").groupBy("label_id").agg(F.min("id").alias("id"))
     out = {}
     for name, col, dim in (("clip", "clip_embedding", CLIP), ("siglip", "siglip_embedding", SIGLIP)):
@@ -242,10 +242,10 @@ def _dense_lists(s: SparkSession, d: str, depth: int) -> dict[str, DataFrame]:
     return out
 
 
-def _hybrid(s: SparkSession, d: str, depth: int, weight: float | None) -> DataFrame:
-    lists = _dense_lists(s, d, depth)
+def _hybrid(s: SparkSession, d: str, depth: int, weight: float | None, every: int = 50) -> DataFrame:
+    lists = _dense_lists(s, d, depth, every)
     if weight:
-        lists["bm25"] = bm25.top_k(_bm25(s, d), "label_id", "score", "id", depth)
+        lists["bm25"] = bm25.top_k(_bm25(s, d, every=every), "label_id", "score", "id", depth)
     fused = fusion.rrf(lists, "label_id", "id", weights={"bm25": weight or 0}, depth=depth)
     return fused.where("rank <= 10").select("label_id", "id", F.round("score", 6).alias("score"), "sources", "rank")
 
@@ -255,6 +255,11 @@ def hybrid_search(s: SparkSession, d: str) -> DataFrame:
     return _hybrid(s, d, 1000, 1.0)
 
 
+def flagship(s: SparkSession, d: str) -> DataFrame:
+    """hybrid_search for every label."""
+    return _hybrid(s, d, 1000, 1.0, 1)
+
+
 @query("hybrid_search_depth", _HYBRID.replace("{lists}", _lists(20, 3.0)) + _OUT)
 def hybrid_search_depth(s: SparkSession, d: str) -> DataFrame:
     return _hybrid(s, d, 20, 3.0)

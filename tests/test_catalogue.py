@@ -1,4 +1,4 @@
-"""Every query with SQL gives what DuckDB gives on the smallest tables."""
+"""Every query with SQL gives what DuckDB gives on whole small tables, and gives rows."""
 
 import os
 from pathlib import Path
@@ -8,7 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 
-DATA = Path("/root/testdata/sf0.001")
+DATA = Path("/root/testdata/sf0.01")
 pytestmark = pytest.mark.skipif(not DATA.exists(), reason="no test tables")
 
 
@@ -30,6 +30,7 @@ def duck():
 def test_same_as_sql(spark, duck, name):
     got, want = entry.queries()[name](spark, str(DATA)).toPandas(), duck.sql(entry.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
+    assert len(got) > 0  # nothing would agree with nothing
     assert rows(got) == rows(want)
 
 
@@ -46,12 +47,12 @@ def test_chains_of_more_than_four_events(spark, tmp_path):
     rows = [(100 * k + 10 * n + m, 1, at(10 * k + n), float(n), kind) for k, pair in enumerate(kinds) for m, kind in enumerate(dict.fromkeys(pair)) for n in range(6)]
     spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, value double, event_type string").write.parquet(f"{tmp_path}/events.parquet")
     for n in (2, 3):
-        assert entry.queries()[f"temporal_chain_{n}_exact"](spark, str(tmp_path)).count() == 6**n
-        assert entry.queries()[f"temporal_chain_{n}"](spark, str(tmp_path)).count() == 4**n
+        assert entry.queries()[f"temporal_chain_{n}"](spark, str(tmp_path)).count() == 6**n
 
 
 def test_entry(spark):
-    assert entry.entry(spark).limit(1).columns == ["label_id", "id", "score", "sources", "rank"]
+    df = entry.entry(spark)
+    assert df.columns == ["label_id", "id", "score", "sources", "rank"] and df.count() > 0
 
 
 def test_imports_without_llm():

@@ -42,7 +42,7 @@ def test_text_functions(spark):
 def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0])], "a array<float>, b array<float>")
     r = df.select(V.l2_normalize(F.col("a")).alias("u"), V.l2_normalize(F.col("b")).alias("z"), V.cosine(F.col("a"), F.col("b")).alias("c"), dialogue.multimodal(F.col("a"), F.lit(None).cast("array<float>")).alias("m")).head()
-    assert r.u == pytest.approx([0.6, 0.8]) and r.z == [0, 0] and r.c == 0 and r.m == [3, 4]
+    assert r.u == pytest.approx([0.6, 0.8]) and r.z == [0, 0] and r.c == 0 and r.m == pytest.approx([0.6, 0.8])
 
 
 def test_filters(spark):
