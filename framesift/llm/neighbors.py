@@ -21,13 +21,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from framesift.session import cut, shared_path
+from framesift.session import cut, shared_fs, shared_path
 
 FILE, BATCH = 65_536, 2_048  # rows
 CODES = 2_048  # centroids of a half at most, so that the counts of all cells take 16 MB
@@ -73,7 +72,7 @@ class Lists:
         at = f, (row - self.starts[f]) // BATCH
         got = self.kept.get(at)
         if got is None:
-            fs, path = pafs.FileSystem.from_uri(self.files[f])
+            fs, path = shared_fs(self.files[f])
             with fs.open_input_file(path) as x:
                 b = pa.ipc.open_file(x).get_batch(at[1])
             got = self.starts[f] + at[1] * BATCH, b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, self.dim), b.column("ids")
@@ -254,7 +253,7 @@ def similar_pairs(df: DataFrame, key: str, vector: str, k: int = 5, least: float
             vec = np.concatenate([matrix(c, dim) for c in t["vec"].chunks if len(c)])
             out = pa.table({"vec": pa.FixedSizeListArray.from_arrays(pa.array(vec.ravel()), dim), "ids": t["ids"].combine_chunks()})
             at = f"{folder}/{uuid.uuid4().hex}.arrow"  # a retried task writes files of its own
-            fs, path = pafs.FileSystem.from_uri(at)
+            fs, path = shared_fs(at)
             fs.create_dir(path.rpartition("/")[0], recursive=True)
             with fs.open_output_stream(path) as f, pa.ipc.new_file(f, out.schema) as w:
                 w.write_table(out, max_chunksize=BATCH)

@@ -12,12 +12,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framesift.session import cut, shared_path
+from framesift.session import cut, shared_fs, shared_path
 
 SCHEMA = pa.schema([("field", pa.string()), ("term", pa.string()), ("h", pa.int64()), ("occurrences", pa.int64()), ("records", pa.int64())])
 DDL = "field string, term string, h bigint, occurrences bigint, records bigint"
@@ -56,7 +54,7 @@ class RadixCounter:
                 self.held, self.n = [], 0
 
     def _fs(self):
-        return pafs.FileSystem.from_uri(self.folder)
+        return shared_fs(self.folder)
 
     def _path(self, k: int) -> str:
         return f"{self._fs()[1]}/{k}.arrow"

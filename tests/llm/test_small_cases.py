@@ -11,8 +11,6 @@ from hypothesis import strategies as st
 
 from framesift.llm import bpe, group_topn, leaks, neighbors, residue, runs, subtitles, term_freq, text_form
 
-TOKENIZERS = pytest.importorskip("public_tokenizers")
-
 
 # --- one form of text
 
@@ -148,6 +146,15 @@ def test_radix_counter_spills(tmp_path):
     assert not any(p.is_file() for p in tmp_path.rglob("*"))
 
 
+def test_terms_of_partitions_that_spill(spark):
+    """With a few rows held at most, parts are spilled and split on both sides of the shuffle; the counts stay."""
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["hot", f"w{rng.randint(0, 900)}", f"v{rng.randint(0, 9)}"]) for _ in range(40)) for _ in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    got = {r.term: (r.occurrences, r.records) for r in term_freq.term_counts(df, {"text": term_freq.text_terms}, held=150, bits=1).where("term is not null").collect()}
+    assert got == {w: (n, sum(w in t.split() for t in texts)) for w, n in Counter(w for t in texts for w in t.split()).items()}
+
+
 # --- top N
 
 
@@ -257,7 +264,7 @@ def runs_row(k, v, x):
 def reference_tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(TOKENIZERS.path("byte_bpe_50k.json"))
+    t = Tokenizer.from_file(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"))
     t.encode_special_tokens = True
     return t
 
