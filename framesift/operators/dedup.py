@@ -1,4 +1,4 @@
-"""Collapse of near-duplicate frames: sequential folds against an anchor, in one pass over sorted partitions."""
+"""Collapse of near-duplicate frames: sequential folds against an anchor over chunks of a video's frames in order."""
 
 from __future__ import annotations
 
@@ -6,49 +6,90 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cosine(a: np.ndarray, b: np.ndarray) -> float:
-    n = np.sqrt((a @ a) * (b @ b))
-    return float(a @ b / n) if n else 0.0
-
-
-def _pearson(a: np.ndarray, b: np.ndarray) -> float:
-    return _cosine(a - a.mean(), b - b.mean())
-
-
-def fold_anchors(threshold: float, metric: str):
-    """Of batches sorted by video, time, id (columns video_id, t, id, vec): each frame with the id of its anchor.
-
-    Only the anchor is carried from batch to batch, so a video is never held."""
-    measure = {"cosine": _cosine, "pearson": _pearson}[metric]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        video = anchor = vec = None
-        for b in batches:
-            anchors = []
-            for v, i, x in zip(b.column("video_id").to_pylist(), b.column("id").to_pylist(), b.column("vec"), strict=True):
-                x = np.asarray(x.values.to_numpy(zero_copy_only=False), np.float64)
-                if v != video or round(measure(vec, x), 9) < threshold:
-                    video, anchor, vec = v, i, x
-                anchors.append(anchor)
-            yield pa.RecordBatch.from_arrays([b.column("video_id"), b.column("t"), b.column("id"), pa.array(anchors, b.column("id").type)], names=["video_id", "t", "id", "anchor"])
-
-    return run
-
-
-def anchor_clusters(frames: DataFrame, vector: str, threshold: float = 0.97, metric: str = "cosine", video: str = "video_id", time: str = "timestamp", key: str = "id") -> DataFrame:
+from framesift.operators.ordering import ROWS, chunks, fixed_point
+
+AHEAD = 64  # frames compared with an anchor at once
+METRICS = ("cosine", "pearson")
+
+
+class Anchors:
+    """The fold over batches sorted by video, time and id; carries the last video and its anchor only."""
+
+    def __init__(self, threshold: float, metric: str, state: tuple | None = None):
+        self.threshold, self.metric = threshold, metric
+        self.video, self.anchor, vec = state or (None, None, None)
+        self.vec = None if vec is None else np.asarray(vec, np.float64)
+
+    def add(self, b: pa.RecordBatch) -> list:
+        """The anchor of each frame of a batch with the columns video_id, t, id, vec."""
+        videos, ids = b.column("video_id").to_pylist(), b.column("id").to_pylist()
+        col = b.column("vec")
+        x = col.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+        x = x - x.mean(1, keepdims=True) if self.metric == "pearson" else x
+        sq = np.einsum("ij,ij->i", x, x)
+        out: list = []
+        i = 0
+        while i < len(ids):
+            if videos[i] != self.video:
+                self.video, self.anchor, self.vec = videos[i], ids[i], x[i]
+                out.append(self.anchor)
+                i += 1
+                continue
+            j = min(len(ids), i + AHEAD)
+            n = np.sqrt(sq[i:j] * (self.vec @ self.vec))
+            sim = np.divide(x[i:j] @ self.vec, n, out=np.zeros(j - i), where=n > 0)
+            apart = np.round(sim, 9) < self.threshold
+            apart |= np.fromiter((v != self.video for v in videos[i:j]), bool, j - i)
+            stop = i + int(np.argmax(apart)) if apart.any() else j
+            out += [self.anchor] * (stop - i)
+            i = stop
+            if i < j and videos[i] == self.video:
+                self.anchor, self.vec = ids[i], x[i]
+                out.append(self.anchor)
+                i += 1
+        return out
+
+
+def anchor_clusters(frames: DataFrame, vector: str, threshold: float = 0.97, metric: str = "cosine", video: str = "video_id", time: str = "timestamp", key: str = "id", rows: int = ROWS) -> DataFrame:
     """`video_id`, `t`, `id`, `anchor`: a frame joins the cluster of its video's last anchor if similar enough, else it is the next anchor.
 
-    Raises ValueError for a threshold outside (0, 1]. Frames need a vector and a time; clusters never cross videos."""
+    Raises ValueError for a threshold outside (0, 1] or another metric than METRICS. Frames need a vector and a time; clusters never cross
+    videos. Vectors have one length. A long video goes over chunks of about `rows` frames, which are folded at once: see fixed_point."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
-    rows = frames.select(F.col(video).alias("video_id"), F.col(time).alias("t"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vec")).where("video_id is not null and t is not null and vec is not null")
-    kinds = {n: t for n, t in rows.dtypes}
-    ddl = f"video_id {kinds['video_id']}, t {kinds['t']}, id {kinds['id']}, anchor {kinds['id']}"
-    return rows.repartition("video_id").sortWithinPartitions("video_id", "t", "id").mapInArrow(fold_anchors(threshold, metric), ddl)
+    if metric not in METRICS:
+        raise ValueError(f"metric must be one of {METRICS}")
+    all_ = frames.select(F.col(video).alias("video_id"), F.col(time).alias("t"), F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("vec")).where("video_id is not null and t is not null and vec is not null")
+    kinds = {n: t for n, t in all_.dtypes}
+    ordered = chunks(all_, ["video_id", "t", "id"], rows)
+
+    def last(entering: dict[int, tuple]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            chunk = TaskContext.get().partitionId()
+            fold, types = Anchors(threshold, metric, entering.get(chunk)), None
+            for b in batches:
+                if b.num_rows:
+                    types = b.schema.field("video_id").type, b.schema.field("id").type
+                    fold.add(b)
+            if types:
+                yield pa.RecordBatch.from_arrays([pa.array([chunk]), pa.array([fold.video], types[0]), pa.array([fold.anchor], types[1]), pa.array([fold.vec.tolist()], pa.list_(pa.float64()))], names=["chunk", "video_id", "anchor", "vec"])
+
+        return run
+
+    entering = fixed_point(ordered, last, f"chunk bigint, video_id {kinds['video_id']}, anchor {kinds['id']}, vec array<double>")
+    shared = frames.sparkSession.sparkContext.broadcast(entering)
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fold = Anchors(threshold, metric, shared.value.get(TaskContext.get().partitionId()))
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([b.column("video_id"), b.column("t"), b.column("id"), pa.array(fold.add(b), b.column("id").type)], names=["video_id", "t", "id", "anchor"])
+
+    return ordered.mapInArrow(mark, f"video_id {kinds['video_id']}, t {kinds['t']}, id {kinds['id']}, anchor {kinds['id']}")
 
 
 def representatives(clusters: DataFrame) -> DataFrame:

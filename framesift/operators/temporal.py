@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from framesift.operators import ordering
+
 
 def event_chains(events: list[DataFrame], per_video: int | None = None) -> DataFrame:
     """`video_id`, `id_1`, `t_1`, ..., `total`: candidates of each event in one video at strictly increasing times.
@@ -66,33 +68,37 @@ def relevant(frames: DataFrame, labels: DataFrame, bucket: float = 60.0) -> Data
     return f.join(q, (F.col("video_id") == F.col("v")) & (F.col("fb") == F.col("b")) & (F.col("timestamp") >= F.col("lo")) & (F.col("timestamp") < F.col("hi"))).select("label_id", "id")
 
 
-def _by_time() -> Window:
-    return Window.partitionBy("video_id").orderBy("timestamp", "id")
-
-
 def neighbors(frames: DataFrame, chosen: DataFrame, before: int = 2, after: int = 2) -> DataFrame:
     """`center`, `id`, `offset`: the frames around each chosen `id` in its video by time; unknown ids have none."""
-    n = frames.where("video_id is not null and timestamp is not null").withColumn("n", F.row_number().over(_by_time())).select("id", "video_id", "n")
+    n = ordering.positions(frames)
     c = n.join(chosen.select("id").distinct(), "id").select(F.col("id").alias("center"), F.col("video_id").alias("v"), F.explode(F.sequence(F.col("n") - before, F.col("n") + after)).alias("m"), F.col("n").alias("at"))
     return n.join(c, (F.col("video_id") == F.col("v")) & (F.col("n") == F.col("m"))).select("center", "id", (F.col("n") - F.col("at")).alias("offset"))
 
 
+def _at(n: DataFrame, spots: DataFrame) -> DataFrame:
+    """The frames at places `spot` of their videos."""
+    s = spots.select(F.col("video_id").alias("v"), "spot").distinct()
+    return n.join(s, (F.col("video_id") == F.col("v")) & (F.col("n") == F.col("spot"))).drop("v", "spot")
+
+
 def explore(frames: DataFrame, per_video: int = 3) -> DataFrame:
     """`video_id`, `id`, `timestamp`: evenly spaced frames of each video, first and last included; half a step goes to the even one."""
-    f = frames.where("video_id is not null and timestamp is not null").withColumn("n", F.row_number().over(_by_time()) - 1).withColumn("len", F.count("*").over(Window.partitionBy("video_id")))
+    n = ordering.positions(frames)
+    length = n.groupBy("video_id").agg(F.count("*").alias("len"))
     take = F.least(F.lit(per_video), F.col("len"))
     spots = F.when(take == 1, F.array(F.lit(0).cast("bigint"))).otherwise(F.transform(F.sequence(F.lit(0), take.cast("int") - 1), lambda i: F.bround(i * (F.col("len") - 1) / (take - 1)).cast("bigint")))
-    return f.where(F.array_contains(spots, F.col("n").cast("bigint"))).select("video_id", "id", "timestamp")
+    return _at(n, length.select("video_id", F.explode(spots).alias("spot"))).select("video_id", "id", "timestamp")
 
 
 def systematic_sample(frames: DataFrame, step: int) -> DataFrame:
-    """Every step-th frame of each video by time, beginning with the first."""
-    return frames.where("video_id is not null and timestamp is not null").withColumn("n", F.row_number().over(_by_time()) - 1).where(F.col("n") % step == 0).drop("n")
+    """`video_id`, `id`, `timestamp` of every step-th frame of each video by time, beginning with the first."""
+    return ordering.positions(frames).where(F.col("n") % step == 0).drop("n")
 
 
 def uniform_subsample(frames: DataFrame, n: int) -> DataFrame:
-    """At most n frames of each video, at the places int(i * len / n)."""
-    f = frames.where("video_id is not null and timestamp is not null").withColumn("n", F.row_number().over(_by_time()) - 1).withColumn("len", F.count("*").over(Window.partitionBy("video_id")))
-    # place p is taken if some i has floor(i * len / n) = p: the next i at or above p * n / len is below (p + 1) * n / len
-    i = F.ceil(F.col("n") * n / F.col("len"))
-    return f.where((F.col("len") <= n) | ((i < n) & (F.floor(i * F.col("len") / n) == F.col("n")))).drop("n", "len")
+    """`video_id`, `id`, `timestamp` of at most n frames of each video, at the places int(i * len / n)."""
+    placed = ordering.positions(frames)
+    length = placed.groupBy("video_id").agg(F.count("*").alias("len"))
+    take = F.least(F.lit(n), F.col("len")).cast("int")
+    spots = F.transform(F.sequence(F.lit(0), take - 1), lambda i: F.floor(i * F.col("len") / take).cast("bigint"))
+    return _at(placed, length.select("video_id", F.explode(spots).alias("spot"))).drop("n")

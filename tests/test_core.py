@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from framesift.functions import text as T
 from framesift.functions import vectors as V
 from framesift.functions.location import location
-from framesift.operators import bm25, dedup, dense, dialogue, filters, fusion, sessions, temporal, tools
+from framesift.operators import bm25, dedup, dense, dialogue, filters, fusion, ordering, sessions, temporal, tools
 from framesift.operators import metrics as M
 from framesift.sources import keyframes
 from framesift.streaming import ingest
@@ -93,6 +93,27 @@ def test_dedup(spark):
         dedup.anchor_clusters(df, "vec", 0.0)
 
 
+@pytest.mark.parametrize("rows", [3, 40, 10_000])
+def test_folds_over_chunks(spark, rows):
+    """Clusters and places don't depend on how a long video is cut; a slow drift hands anchors on over many chunks."""
+    rng = np.random.default_rng(3)
+    frames, want, place = [], {}, {}
+    for v, n in (("a", 90), ("b", 1), ("c", 40), ("d", 2)):
+        anchor = vec = None
+        angle = 0.0
+        for t in range(n):
+            angle += rng.choice([0.0, 0.02, 0.4]) if v == "a" else 0.01
+            x = np.array([math.cos(angle), math.sin(angle)])
+            if vec is None or round(float(x @ vec), 9) < 0.97:
+                anchor, vec = f"{v}{t:03d}", x
+            want[f"{v}{t:03d}"], place[f"{v}{t:03d}"] = anchor, t
+            frames.append((v, float(t), f"{v}{t:03d}", x.tolist()))
+    df = spark.createDataFrame(frames, "video_id string, timestamp double, id string, vec array<double>").orderBy(F.rand(1))
+    assert {r.id: r.anchor for r in dedup.anchor_clusters(df, "vec", 0.97, rows=rows).collect()} == want
+    assert {r.id: r.n for r in ordering.positions(df, rows).collect()} == place
+    assert ordering.positions(df.limit(0), rows).collect() == []
+
+
 def test_stream_equals_batch(spark, tmp_path):
     rng = random.Random(5)
     rows = []
