@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framesift.functions.text import safe_name
+
 RAW = "id string, video_id string, timestamp double, image_path string, image_bytes binary, audio_path string, objects array<string>, source_video string, frame_idx bigint"
 RECORD = "id string, video_id string, timestamp double, clip_embedding array<float>, siglip_embedding array<float>, objects array<string>, ocr_text string, asr_text string, llm_caption string, is_cluster_representative boolean, cluster_span struct<t_start:double,t_end:double>"
 LABEL = "query string, video_id string, time_window array<double>"
@@ -42,7 +44,7 @@ def read_vectors(spark: SparkSession, folder: str) -> DataFrame:
             for r in b.to_pylist():
                 m = np.load(io.BytesIO(r["content"]), allow_pickle=False).astype(np.float32)
                 name = PurePosixPath(r["stem"]).name
-                keys = [f"{name}/{i}" for i in range(len(m))] if r["ids"] is None else r["ids"].split()
+                keys = [f"{name}/{i}" for i in range(len(m))] if r["ids"] is None else [x.strip() for x in r["ids"].splitlines() if x.strip()]
                 if len(keys) != len(m):
                     raise ValueError(f"{name}: {len(keys)} ids for {len(m)} rows")
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([name] * len(m)), pa.array(m.tolist(), pa.list_(pa.float32()))], names=["id", "video_id", "vec"])
@@ -61,29 +63,48 @@ def save_index(records: DataFrame, folder: str) -> None:
 
 
 def load_index(spark: SparkSession, folder: str, encoders: tuple[str, ...] = ("clip", "siglip")) -> DataFrame:
-    """The records with a column for each encoder; null where there is no vector."""
+    """The records with a column for each encoder; null where there is no vector. Columns that older files lack are null, further ones stay."""
     out = spark.read.parquet(f"{folder}/records")
+    for field in spark.createDataFrame([], RECORD).schema:
+        if field.name not in out.columns and not field.name.endswith("_embedding"):
+            out = out.withColumn(field.name, F.lit(None).cast(field.dataType))
     vectors = spark.read.parquet(f"{folder}/vectors")
     for e in encoders:
         out = out.join(vectors.where(F.col("encoder") == e).select("id", F.col("vec").alias(f"{e}_embedding")), "id", "left")
     return out
 
 
+def save_all(indexes: dict[str, DataFrame], folder: str) -> list[str]:
+    """Each index below the folder under its name, made safe for a path; the paths. Raises ValueError if two names come to one."""
+    spark = next(iter(indexes.values())).sparkSession if indexes else None
+    paths = []
+    for name, records in indexes.items():
+        path = f"{folder}/{spark.range(1).select(safe_name(F.lit(name)).alias('x')).head()['x']}"
+        if path in paths:
+            raise ValueError(f"two indexes would be written to {path}")
+        save_index(records, path)
+        paths.append(path)
+    return paths
+
+
 def enrich(raw: DataFrame, providers: dict[str, Callable[[DataFrame], Column]]) -> DataFrame:
     """raw with a column from each provider (an expression or an Arrow UDF over raw's columns)."""
-    for name, provider in providers.items():
-        raw = raw.withColumn(name, provider(raw))
-    return raw
+    return raw.withColumns({name: provider(raw) for name, provider in providers.items()})
 
 
-def mock_vectors(dim: int, salt: str) -> Callable[[DataFrame], Column]:
-    """A provider of unit vectors that depend on the id and salt only, in place of an encoder."""
+def mock_vectors(dim: int, salt: str, noise: float = 0.0) -> Callable[[DataFrame], Column]:
+    """A provider of unit vectors that depend on the id and salt only, in place of an encoder. noise: how far each is moved in a second
+    direction of its own."""
     def provide(df: DataFrame) -> Column:
         def one(key: str) -> list[float]:
             import hashlib
 
             seed = int.from_bytes(hashlib.sha256(f"{salt}:{key}".encode()).digest()[:8], "little")
-            v = np.random.default_rng(seed).standard_normal(dim)
+            rng = np.random.default_rng(seed)
+            v = rng.standard_normal(dim)
+            v = v / np.linalg.norm(v)
+            if noise:
+                v = v + noise * rng.standard_normal(dim) / np.sqrt(dim)
             return (v / np.linalg.norm(v)).astype(np.float32).tolist()
 
         def run(ids: pd.Series) -> pd.Series:

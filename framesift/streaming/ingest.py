@@ -2,46 +2,80 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
+
+from framesift.operators.dedup import Anchors
 
 KEPT = "video_id string, id string, timestamp double"
 STATE = "anchor string, vec array<double>, last double"
 
 
-def collapse_stream(frames: DataFrame, vector: str, threshold: float = 0.97) -> DataFrame:
+def collapse_stream(frames: DataFrame, vector: str, threshold: float = 0.97, idle: int | None = None) -> DataFrame:
     """Of a stream of frames those that start a cluster: `video_id`, `id`, `timestamp`.
 
     Frames of a video are taken by time within a micro-batch; one that is older than the last one taken is late and left out. The state of
-    a video is its anchor. On ordered input the result is that of operators.dedup.anchor_clusters."""
+    a video is its anchor; if `idle` is given, it is dropped once nothing came for so many ms (such a query wakes up without new rows). On ordered input the result is that of
+    operators.dedup.anchor_clusters. A video's frames of one micro-batch are sorted in one task, so bound the source's trigger
+    (maxFilesPerTrigger, maxBytesPerTrigger), as read_bounded does."""
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be in (0, 1]")
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         anchor, vec, last = state.get if state.exists else (None, None, float("-inf"))
-        rows = pd.concat(list(batches)).sort_values(["timestamp", "id"], kind="stable")  # a micro-batch, whose size the source bounds
-        kept = []
-        for i, t, v in zip(rows["id"], rows["timestamp"], rows["vec"], strict=True):
-            if t < last:
-                continue
-            x = np.asarray(v, np.float64)
-            n = 0.0 if vec is None else np.sqrt((x @ x) * (np.asarray(vec) @ np.asarray(vec)))
-            if vec is None or round(float(x @ np.asarray(vec) / n) if n else 0.0, 9) < threshold:
-                anchor, vec = i, x.tolist()
-                kept.append((key[0], i, t))
-            last = t
-        if anchor is not None:
-            state.update((anchor, list(map(float, vec)), float(last)))
-        yield pd.DataFrame(kept, columns=["video_id", "id", "timestamp"])
+        fold = Anchors(threshold, "cosine", None if anchor is None else (key[0], anchor, vec))
+        rows = pd.concat(list(batches)).sort_values(["timestamp", "id"], kind="stable")
+        rows = rows[rows["timestamp"] >= last]
+        if len(rows):
+            b = pa.RecordBatch.from_arrays([pa.array([key[0]] * len(rows)), pa.array(rows["timestamp"]), pa.array(rows["id"]), pa.array(list(rows["vec"]), pa.list_(pa.float64()))], names=["video_id", "t", "id", "vec"])
+            own = np.array(fold.add(b), object) == rows["id"].to_numpy()
+            state.update((fold.anchor, fold.vec.tolist(), float(rows["timestamp"].iloc[-1])))
+            rows = rows[own]
+        if idle is not None:
+            state.setTimeoutDuration(idle)
+        yield pd.DataFrame({"video_id": [key[0]] * len(rows), "id": rows["id"].to_numpy(), "timestamp": rows["timestamp"].to_numpy()})
 
     rows = frames.where(F.col("video_id").isNotNull() & F.col("timestamp").isNotNull() & F.col(vector).isNotNull())
     rows = rows.select("video_id", "id", "timestamp", F.col(vector).cast("array<double>").alias("vec"))
-    return rows.groupBy("video_id").applyInPandasWithState(step, KEPT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return rows.groupBy("video_id").applyInPandasWithState(step, KEPT, STATE, "append", GroupStateTimeout.NoTimeout if idle is None else GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def read_bounded(spark: SparkSession, path: str, schema: str | StructType, files: int = 4) -> DataFrame:
+    """A stream of a folder's Parquet files, oldest first, of which a micro-batch takes at most `files`: what isn't worked off yet waits there."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("latestFirst", False).parquet(path)
+
+
+class Progress(StreamingQueryListener):
+    """Calls back with the rows taken in so far, query by query, and with the error that ends one."""
+
+    def __init__(self, told: Callable[[str, int], None], failed: Callable[[str, str], None] | None = None):
+        self.told, self.failed, self.rows = told, failed, {}
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802 - Spark's name
+        self.rows[str(event.id)] = 0
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        key = str(event.progress.id)
+        self.rows[key] = self.rows.get(key, 0) + event.progress.numInputRows
+        self.told(key, self.rows[key])
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        if event.exception and self.failed:
+            self.failed(str(event.id), event.exception)
 
 
 def deliver_once(frames: DataFrame, key: str = "id", arrival: str = "ingested_at", delay: str = "7 days") -> DataFrame:
