@@ -40,6 +40,7 @@ def collapse_stream(frames: DataFrame, vector: str, threshold: float = 0.97, idl
         if len(rows):
             b = pa.RecordBatch.from_arrays([pa.array([key[0]] * len(rows)), pa.array(rows["timestamp"]), pa.array(rows["id"]), pa.array(list(rows["vec"]), pa.list_(pa.float64()))], names=["video_id", "t", "id", "vec"])
             own = np.array(fold.add(b), object) == rows["id"].to_numpy()
+            own &= ~rows["id"].duplicated().to_numpy() & (rows["id"].to_numpy() != anchor)  # an anchor delivered again opens nothing
             state.update((fold.anchor, fold.vec.tolist(), float(rows["timestamp"].iloc[-1])))
             rows = rows[own]
         if idle is not None:
