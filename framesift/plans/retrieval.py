@@ -10,7 +10,7 @@ from framesift.functions import text as T
 from framesift.functions import vectors as V
 from framesift.operators import bm25, dense, dialogue, filters, fusion
 from framesift.plans.base import CLIP, SIGLIP, C, K, L, candidates, clips, frames, labels, ok, query, stored
-from framesift.session import table
+from framesift.session import cut, table
 
 PRINT = "round(list_sum(list_transform({v}, lambda x, i: x * i)), 6)"
 UNIT = "case when list_inner_product({v}, {v}) = 0 then {v} else list_transform({v}, lambda x: x / sqrt(list_inner_product({v}, {v}))) end"
@@ -232,16 +232,20 @@ _OUT = " select label_id, id, round(score, 6) as score, sources, rank from o whe
 
 def _dense_lists(s: SparkSession, d: str, depth: int, every: int = 50) -> dict[str, DataFrame]:
     """Each label's first frame of its video, by id, stands for the encoded query."""
-    e = clips(s, d).select("id", "video_id", "vec")
-    asked = _asked(s, d, every).select("label_id", "video_id")
-    seeds = asked.join(e, "video_id").groupBy("label_id").agg(F.min("id").alias("id"))
+    seeds = _asked(s, d, every).select("label_id", "video_id").join(_vectors(s, d, "clip_embedding", CLIP), "video_id").groupBy("label_id").agg(F.min("id").alias("id"))
     out = {}
     for name, col, dim in (("clip", "clip_embedding", CLIP), ("siglip", "siglip_embedding", SIGLIP)):
-        v = clips(s, d, col, dim).select("id", "vec")
-        out[name] = dense.batch_knn(v, seeds.join(v, "id").select("label_id", F.col("vec").alias("qv")), "id", "vec", "label_id", "qv", depth, dim)
+        v = _vectors(s, d, col, dim)
+        q = cut(v.join(seeds, "id").select("label_id", F.col("vec").alias("qv")))  # a row per label asked; read twice
+        out[name] = dense.batch_knn(v, q, "id", "vec", "label_id", "qv", depth, dim)
     return out
 
 
+def _vectors(s: SparkSession, d: str, column: str, dim: int) -> DataFrame:
+    """`id`, `video_id`, `vec` of the frames with a usable vector, stored once."""
+    return stored(s, d, column, "keyframes", lambda: cut(clips(s, d, column, dim).select("id", "video_id", "vec")))
+
+
 def _hybrid(s: SparkSession, d: str, depth: int, weight: float | None, every: int = 50) -> DataFrame:
     lists = _dense_lists(s, d, depth, every)
     if weight:
