@@ -298,8 +298,8 @@ def vqa_count(s: SparkSession, d: str) -> DataFrame:
 _AUX = "|".join(T.AUXILIARIES)
 
 
-@query("vqa_identify", f"""with {K}, v as (select unnest({T.SUBJECT_ACTIONS + ['đi', 'đứng']}) verb), m as (select id, verb, trim(regexp_extract(' ' || regexp_replace(llm_caption, '[\\t \\p{{Z}}]+', ' ', 'g'), '(?i)^ ([^\n]*?)(?:^|[^\p{{L}}\p{{N}}_])' || verb || '(?:$|[^\p{{L}}\p{{N}}_])', 1)) b from k, v),
-x as (select id, verb, trim(regexp_replace(b, '(?i)(^|\s+)(({_AUX})(\s+|$))+$', ''), ' ,.;') subject from m where b <> '') select id, verb as action, subject from x where subject <> ''""")
+@query("vqa_identify", f"""with {K}, v as (select unnest({T.SUBJECT_ACTIONS + ['đi', 'đứng']}) verb), m as (select id, verb, trim(regexp_extract(' ' || regexp_replace(llm_caption, '[\\t \\p{{Z}}]+', ' ', 'g'), '(?i)^ ([^\\n]*?)(?:^|[^\\p{{L}}\\p{{N}}_])' || verb || '(?:$|[^\\p{{L}}\\p{{N}}_])', 1)) b from k, v),
+x as (select id, verb, trim(regexp_replace(b, '(?i)(^|\\s+)(({_AUX})(\\s+|$))+$', ''), ' ,.;') subject from m where b <> '') select id, verb as action, subject from x where subject <> ''""")
 def vqa_identify(s: SparkSession, d: str) -> DataFrame:
     """Who does each of some actions in a caption: what stands before it, auxiliaries aside."""
     verbs = [*T.SUBJECT_ACTIONS, "đi", "đứng"]
