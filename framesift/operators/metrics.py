@@ -59,7 +59,11 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
 
 
 def mcnemar(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    """`only_a`, `only_b`, `p`: exact two-sided binomial test over the discordant pairs of hits; p is 1 without any."""
+    """`only_a`, `only_b`, `p`: exact two-sided binomial test over the discordant pairs of hits; p is 1 without any.
+
+    A hit that lacks its partner (null on either side) is an error: the two runs aren't over the same queries."""
+    whole = F.when(F.col(a).isNull() | F.col(b).isNull(), F.raise_error(F.lit("both runs need a hit or miss for every query")).cast("int")).otherwise(F.col(a))
+    pairs = pairs.select(whole.cast("int").alias(a), F.col(b).cast("int").alias(b))
     n = pairs.agg(F.count(F.when((F.col(a) == 1) & (F.col(b) == 0), 1)).alias("only_a"), F.count(F.when((F.col(a) == 0) & (F.col(b) == 1), 1)).alias("only_b"))
     total, least = F.col("only_a") + F.col("only_b"), F.least("only_a", "only_b")
     fact = lambda x: F.aggregate(F.sequence(F.lit(0), x.cast("int")), F.lit(0.0), lambda s, i: s + F.log(F.greatest(i, F.lit(1))))

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from framesift.functions import text as T
 from framesift.functions import vectors as V
 from framesift.functions.location import location
-from framesift.operators import bm25, dense, dialogue, filters, fusion, temporal
+from framesift.operators import answers, bm25, dense, dialogue, filters, fusion, temporal
 
 TEXTS = ("llm_caption", "ocr_text", "asr_text")
 FOUND = "keyframe_id string, video_id string, timestamp double, score double, sources string, rank int"
@@ -217,6 +217,15 @@ class Catalogue:
         chains = temporal.event_chains(parts)
         return chains.orderBy(F.round("total", 9).desc(), *(f"t_{i}" for i in n), "video_id", *(f"id_{i}" for i in n)).limit(limit).select("video_id", "total", steps.alias("steps"))
 
+    def ask(self, question: str, window: float = 8.0) -> dict | None:
+        """The answer from the frames within `window` seconds of the best one found for the question, in its video; None if none is found."""
+        best = self.search(question, 1).head()
+        if best is None or best["video_id"] is None or best["timestamp"] is None:
+            return None
+        near = filters.temporal_window(self.frames, best["video_id"], best["timestamp"], window)
+        row = answers.answer_windows(near.select(F.lit(0).alias("q"), F.lit(question).alias("question"), "id", "timestamp", "llm_caption", "objects")).head()
+        return row.asDict() if row else None
+
     # --- around results
 
     def neighbors(self, frame_id: str, before: int = 4, after: int = 4) -> DataFrame:

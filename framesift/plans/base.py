@@ -45,7 +45,7 @@ def stored(spark: SparkSession, d: str, name: str, table_name: str, make: Callab
     """What make gives, made once per session for a table as it is: an index is kept as long as the table's files are the same."""
     p = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/{table_name}.parquet")
     files = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
-    key = (spark.sparkContext.applicationId, name, *((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
+    key = (spark.sparkContext.applicationId, getattr(spark.sparkContext, "_framesift_cleared", 0), name, *((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files))
     if key not in _STORED:
         _STORED[key] = make()
     return _STORED[key]

@@ -74,6 +74,7 @@ def clear(spark: SparkSession) -> None:
     for path in getattr(spark.sparkContext, "_framesift_paths", []):
         remove(spark, path)
     spark.sparkContext._framesift_paths = []
+    spark.sparkContext._framesift_cleared = getattr(spark.sparkContext, "_framesift_cleared", 0) + 1
 
 
 def shared_fs(uri: str) -> tuple[pafs.FileSystem, str]:

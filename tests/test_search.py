@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from framesift.functions import text as T
-from framesift.operators import agent, bm25, search, sessions, tools
+from framesift.operators import agent, answers, bm25, search, sessions, tools
+from framesift.operators import metrics as M
 
 DIM = 6
 SCENES = ["red car on a street", "blue boat in a harbour", "dog in the park", "cake with five candles", "SAMSUNG sign over a shop"]
@@ -280,3 +281,57 @@ def test_fold_of_dialogues(spark):
     names = ["p", "r", "s"]
     got = sessions.fold_dialogues(spark.createDataFrame(turns, "conv int, turn int, p string, r string, s string"), spark.createDataFrame(items, "p string, r string, s string"), "conv", "turn", names)
     assert sorted(map(tuple, got.select("conv", "turn", "hits", "step", "asked").collect())) == brute_fold(turns, items, names)
+
+
+LITERAL = {
+    "Tôi làm rơi chùm chìa khóa có móc khóa gấu bông màu hồng ở quầy bán hoa quả.": ("KIS_textual", "quầy bán hoa quả", None, None),
+    "Người đàn ông cởi mũ trước khi vào phòng.": ("KIS_textual", None, None, ["cởi mũ", "vào phòng"]),
+    "Tìm tất cả các cảnh có trẻ em đang tưới hoa trong công viên.": ("AVS", "công viên", None, None),
+    "Trong video có bao nhiêu ngọn nến trên bánh sinh nhật?": ("VQA", "bánh sinh nhật", None, None),
+    "Tôi gặp một người bạn cũ ở quán cà phê ngoài trời tuần trước, anh ấy mặc áo màu xanh dương.": ("KIS_textual", "quán cà phê ngoài trời", "tuần trước", None),
+}
+
+
+def test_understanding_of_whole_sentences(catalogue):
+    got = {q: catalogue.understand(q) for q in LITERAL}
+    assert {q: (u["kind"], u["location"], u["time"], u["events"]) for q, u in got.items()} == LITERAL
+    first, *_, last = got.values()
+    assert {"chìa khóa", "móc khóa", "gấu bông"} <= set(first["objects"]) and first["colors"] == ["hồng"] and "tưới" in got[list(LITERAL)[2]]["actions"]
+    assert last["colors"] == ["xanh dương"]
+
+
+def test_words_and_scores_by_literal_cases(spark):
+    weights = {"cửa hàng SAMSUNG bên đường": 3.0, "biển STREET FOOD trong hẻm": 3.0, "JB HI-FI": 3.0, "người phụ nữ cầm ô màu đỏ": 1.0, "a photo of a yellow bus": 1.0, "Starbucks bên đường": 1.0}
+    assert {r.q: r.w for r in spark.createDataFrame([(q,) for q in weights], "q string").select("q", T.adaptive_weight(F.col("q")).alias("w")).collect()} == weights
+    scores = {"8": 0.8, "Điểm: 10": 1.0, "0": 0.0, "khớp 7/10": 0.7, "15": 1.0, "không rõ": 0.0, "9.5": 0.95}
+    assert {r.q: r.s for r in spark.createDataFrame([(q,) for q in scores], "q string").select("q", T.parse_score(F.col("q")).alias("s")).collect()} == scores
+
+
+def test_answers_from_windows(spark):
+    asked = {
+        1: ("Trong video có bao nhiêu ngọn nến trên bánh sinh nhật?", ["Mọi người quây quần quanh bàn tiệc.", "Một chiếc bánh sinh nhật với 5 ngọn nến đang cháy.", "Cô gái chuẩn bị thổi nến."], "5", 5),
+        2: ("Có bao nhiêu ngọn nến?", ["Chiếc bánh có ba ngọn nến nhỏ."], "3", 3),
+        3: ("Ai là người tặng quà?", ["Cả nhóm đang trò chuyện vui vẻ.", "Người đàn ông áo xanh đang tặng quà cho cô gái."], "Người đàn ông áo xanh", None),
+        4: ("Có bao nhiêu người?", ["Có một chú chó.", "Hai người đang đi bộ."], "2", 2),
+        5: ("Chuyện gì đang diễn ra?", ["Một cảnh hoàng hôn đẹp.", None, "b", "c", "d"], "Một cảnh hoàng hôn đẹp. b c", None),
+        6: ("Có mấy cây đèn?", ["đèn", "không", None], "1", 1),
+        7: ("Có bao nhiêu lần?", ["ba lần"], "không xác định", None),
+        8: ("Ai cởi mũ?", ["không ai"], "không xác định", None),
+        9: ("Gì vậy?", [None], "không có mô tả", None),
+    }
+    rows = [(q, question, f"{q}/{n}", float(n), c, None) for q, (question, captions, _, _) in asked.items() for n, c in enumerate(captions)]
+    got = {r.q: r for r in answers.answer_windows(spark.createDataFrame(rows, "q int, question string, id string, timestamp double, llm_caption string, objects array<string>"), most=4).collect()}
+    # the noun of 6 is the first countable word, "cây", which no caption has
+    assert {q: (r.answer, r.value) for q, r in got.items()} == {q: (a, v) for q, (_, _, a, v) in asked.items()} | {6: ("0", 0)}
+    assert got[5].used == ["5/0", "5/1", "5/2", "5/3"] and got[1].used == ["1/0", "1/1", "1/2"]
+
+
+def test_ask_looks_around_the_best_frame(catalogue):
+    got = catalogue.ask("boat in a harbour")
+    assert got["intent"] == "describe" and "blue boat in a harbour" in got["answer"] and len(got["used"]) <= 17 and len({i[:2] for i in got["used"]}) == 1
+
+
+def test_paired_test_needs_pairs(spark):
+    assert M.mcnemar(spark.createDataFrame([(1, 0)] * 10, "a int, b int"), "a", "b").head().p < 0.05
+    with pytest.raises(Exception, match="every query"):
+        M.mcnemar(spark.createDataFrame([(1, 0), (1, None)], "a int, b int"), "a", "b").collect()
