@@ -277,11 +277,6 @@ QUESTIONS = ["Có bao nhiêu người ở đây?", "Có mấy cây nến trên b
 _ASKED = "q as (select * from (values " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(QUESTIONS)) + f") v(question, text)), a as (select question, list_filter({_TOK.format(x='text')}, lambda w: w in {tuple(T.COUNTABLE)})[1] noun from q)"
 
 
-def _asked_of(s: SparkSession) -> DataFrame:
-    q = s.createDataFrame(list(enumerate(QUESTIONS)), "question int, text string")
-    return F.broadcast(q.select("question", T.target_noun(F.col("text")).alias("noun")))  # a few rows
-
-
 @query("vqa_count", f"""with {K}, {_ASKED}, w as (select question, noun, video_id, {_TOK.format(x='llm_caption')} t, llm_caption, objects from k, a where video_id is not null and noun is not null),
 x as (select question, noun, video_id, t, generate_subscripts(t, 1) i, unnest(t) tok from w), n as (select question, video_id, max(coalesce(try_cast(case when regexp_full_match(tok, '[0-9]+') then tok end as int), nullif(list_position({T.NUMBER_WORDS}, tok), 0))) n from x where list_contains(t[i + 1 : i + 3], noun) group by question, video_id),
 c as (select question, video_id, count(*) filter (contains(lower(llm_caption), noun) or list_contains(list_transform(objects, lambda o: lower(o)), noun)) c from w group by question, video_id) select question, video_id, coalesce(n, c)::bigint as value from c left join n using (question, video_id)""")
@@ -289,7 +284,8 @@ def vqa_count(s: SparkSession, d: str) -> DataFrame:
     """For each question that names something countable: the largest number shortly before it in a video's captions, else the number of frames
     that mention it."""
     k = frames(s, d, "video_id", "llm_caption", "objects").where("video_id is not null")
-    k = k.crossJoin(_asked_of(s)).where("noun is not null")  # every frame with each of the few questions
+    asked = F.explode(F.array(*(F.struct(F.lit(i).alias("question"), T.target_noun(F.lit(q)).alias("noun")) for i, q in enumerate(QUESTIONS))))
+    k = k.select("video_id", "llm_caption", "objects", asked.alias("x")).select("*", "x.*").where("noun is not null")
     says = F.contains(F.lower("llm_caption"), F.col("noun")) | F.array_contains(F.transform("objects", lambda o: F.lower(o)), F.col("noun"))
     g = k.groupBy("question", "video_id").agg(F.max(T.number_before(F.col("llm_caption"), F.col("noun"))).alias("n"), F.count(F.when(says, 1)).alias("c"))
     return g.select("question", "video_id", F.coalesce("n", "c").cast("bigint").alias("value"))

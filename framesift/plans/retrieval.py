@@ -309,8 +309,17 @@ def rerank_overlap(s: SparkSession, d: str) -> DataFrame:
     return pairs.select("label_id", "id", F.round(T.token_overlap(F.col("query"), F.coalesce("llm_caption", F.lit(""))), 6).alias("score"))
 
 
-@query("kisc_retrieve", f"with {_BM25}, r as (select label_id, id, round(score, 6) score, {_RANKED} from bm join k using (id) where list_has_all(objects, ['Person'])) select label_id, id, score, rank from r where rank <= 20")
+@query("kisc_retrieve", f"""with {_BM25}, tagged as (select id from k where list_has_all(objects, ['Person'])), hits as (select label_id, id, round(score, 6) score from bm join tagged using (id)),
+unmet as (select label_id from l where label_id % 50 = 0 and query is not null and label_id not in (select label_id from hits)), few as (select id from tagged order by id limit 20),
+pool as (select * from hits union all select label_id, id, 1.0::double from unmet, few), r as (select label_id, id, score, row_number() over (partition by label_id order by score desc, id) rank from pool) select label_id, id, score, rank from r where rank <= 20""")
 def kisc_retrieve(s: SparkSession, d: str) -> DataFrame:
-    """Text ranking among the frames that have all the tags; statistics of all frames."""
-    tagged = filters.apply(frames(s, d, "objects"), objects_all=["Person"]).select("id")
-    return bm25.top_k(_bm25(s, d).join(tagged, "id", "left_semi"), "label_id", "score", "id", 20).withColumn("score", F.round("score", 6))
+    """Text ranking among the frames that have all the tags, with statistics of all frames; for a label whose text meets none of these, the first
+    of them by id with the number of tags as score."""
+    tags = ["Person"]
+    tagged = filters.apply(frames(s, d, "objects"), objects_all=tags).select("id")
+    found = _bm25(s, d).join(tagged, "id", "left_semi").select("label_id", "id", F.round("score", 6).alias("score"))
+    best = bm25.top_k(found, "label_id", "score", "id", 20)
+    first = tagged.orderBy("id").limit(20).groupBy().agg(F.array_sort(F.collect_list("id")).alias("ids"))  # twenty ids
+    none = _asked(s, d).select("label_id").join(found.select("label_id"), "label_id", "left_anti").withColumn("one", F.lit(1))
+    rest = none.join(F.broadcast(first.withColumn("one", F.lit(1))), "one").select("label_id", F.posexplode("ids").alias("n", "id"))
+    return best.unionByName(rest.select("label_id", "id", F.lit(float(len(tags))).alias("score"), (F.col("n") + 1).alias("rank")))
