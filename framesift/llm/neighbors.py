@@ -2,8 +2,10 @@
 
 Both halves of the unit vectors are quantised on their own; a cell is a pair of centroids, its list holds the vectors next
 to them. The entries lie in the shared folder sorted by cell, in files of bounded size, so a dense cell goes over many of them. Each
-query traverses the centroid pairs by summed distance with a heap of its own, until it has met enough entries; the lists that the
-queries of one cell meet are ranked for all of these by exact cosine, in one product.
+query traverses the centroid pairs by summed distance, each from its own distances, until it has met enough entries: the pairs that a
+heap can pop early lie under a hyperbola of ranks and are sorted for many queries at once, the heap itself runs where those don't
+do. The lists that the queries of one cell meet are ranked for all of these by exact cosine, in one product. Files on a local file system
+are mapped, so that lists far apart aren't read again and again; from others, batches are read and some kept.
 
 Equal vectors are one entry with its first ids; those beyond are answered from it by a join. The codebooks are learned from a
 bounded sample (`sample` vectors, chosen by hash); all vectors are indexed and all are queries. A cell is always ranked whole, so a
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +32,7 @@ from pyspark.sql.window import Window
 from framesift.session import cut, shared_fs, shared_path
 
 FILE, BATCH = 65_536, 2_048  # rows
+QUERIES, BLOCK = 256, 4_096  # queries and entries of one product at most
 CODES = 2_048  # centroids of a half at most, so that the counts of all cells take 16 MB
 
 
@@ -60,11 +64,12 @@ def matrix(col: pa.Array, dim: int) -> np.ndarray:
 
 
 class Lists:
-    """The entries of the index by row number, read as they are needed; at most about `mb` of them are kept."""
+    """The entries of the index by row number. Local files are mapped; of others, at most about `mb` of what was read are kept."""
 
     def __init__(self, files: list[str], starts: np.ndarray, dim: int, mb: int = 160):
         self.files, self.starts, self.dim, self.left = files, starts.tolist(), dim, mb << 20
         self.kept: OrderedDict[tuple[int, int], tuple] = OrderedDict()
+        self.mapped: dict[int, pa.ipc.RecordBatchFileReader] = {}
 
     def batch(self, row: int) -> tuple[int, np.ndarray, pa.Array]:
         """The first row of the batch that holds a row, its vectors and ids."""
@@ -72,11 +77,11 @@ class Lists:
         at = f, (row - self.starts[f]) // BATCH
         got = self.kept.get(at)
         if got is None:
-            fs, path = shared_fs(self.files[f])
-            with fs.open_input_file(path) as x:
-                b = pa.ipc.open_file(x).get_batch(at[1])
+            b = self.read(f, at[1])
             got = self.starts[f] + at[1] * BATCH, b.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, self.dim), b.column("ids")
             self.kept[at] = got
+            if f in self.mapped:  # views, which take no memory
+                return got
             self.left -= b.nbytes
             while self.left < 0 and len(self.kept) > 1:
                 old = self.kept.popitem(last=False)[1]
@@ -85,6 +90,15 @@ class Lists:
             self.kept.move_to_end(at)
         return got
 
+    def read(self, f: int, number: int) -> pa.RecordBatch:
+        if f not in self.mapped:
+            fs, path = shared_fs(self.files[f])
+            if not isinstance(fs, pafs.LocalFileSystem):
+                with fs.open_input_file(path) as x:
+                    return pa.ipc.open_file(x).get_batch(number)
+            self.mapped[f] = pa.ipc.open_file(pa.memory_map(path))
+        return self.mapped[f].get_batch(number)
+
     def vectors(self, lo: int, hi: int) -> np.ndarray:
         first, vec, _ = self.batch(lo)
         if hi <= first + len(vec):
@@ -96,15 +110,21 @@ class Lists:
             lo += len(parts[-1])
         return np.concatenate(parts)
 
-    def ids(self, row: int) -> list[str]:
-        first, _, ids = self.batch(row)
-        return ids[row - first].as_py()
+    def ids(self, rows: np.ndarray) -> dict[int, list[str]]:
+        """The ids of each of the rows."""
+        rows, out, i = np.unique(rows), {}, 0
+        while i < len(rows):
+            first, vec, ids = self.batch(int(rows[i]))
+            j = int(np.searchsorted(rows, first + len(vec)))
+            out.update(zip(rows[i:j].tolist(), ids.take(pa.array(rows[i:j] - first)).to_pylist(), strict=True))
+            i = j
+        return out
 
 
-def ascending(d: np.ndarray) -> tuple[list[list[int]], list[list[float]]]:
+def ascending(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of each row the columns by value, and the values."""
-    order = np.argsort(d, axis=1, kind="stable")
-    return order.tolist(), np.take_along_axis(d, order, 1).tolist()
+    order = np.argsort(d, axis=1)
+    return order, np.take_along_axis(d, order, 1)
 
 
 def traverse(o1: list[int], a1: list[float], o2: list[int], a2: list[float], counts: np.ndarray, enough: int, least: int = 1) -> list[tuple[int, int]]:
@@ -124,11 +144,39 @@ def traverse(o1: list[int], a1: list[float], o2: list[int], a2: list[float], cou
     return found
 
 
+def traverse_all(o1: np.ndarray, a1: np.ndarray, o2: np.ndarray, a2: np.ndarray, counts: np.ndarray, enough: int, least: int = 1, pops: int = 64) -> np.ndarray:
+    """The cells (row times columns of counts, plus column) that `traverse` finds for any of the queries, one a row of each array.
+
+    When the heap pops (a, b), it has popped all (a', b') with a' <= a and b' <= b before. So its first `pops` pairs have
+    (a + 1) (b + 1) <= pops: these are sorted for all queries at once. Queries that need more have four times as many, at last the heap."""
+    found, width, left = np.zeros(counts.size, bool), counts.shape[1], np.arange(len(o1))
+    while len(left) and pops <= 4096:
+        ranks = [(a, b) for a in range(min(pops, a1.shape[1])) for b in range(min(pops // (a + 1), a2.shape[1]))]
+        ra, rb = np.array(ranks).T
+        step, again = max(1, 2_000_000 // len(ranks)), []
+        for i in range(0, len(left), step):
+            q = left[i : i + step, None]
+            order = np.argsort(a1[q, ra] + a2[q, rb], axis=1)
+            cell = o1[q, ra[order]] * width + o2[q, rb[order]]
+            n = counts.ravel()[cell]
+            short = (np.cumsum(n, axis=1) < enough) | (np.cumsum(n > 0, axis=1) < least)
+            popped = short.sum(1) + 1
+            done = (popped <= pops) | (len(ranks) == counts.size)  # all pairs there are
+            here = done[:, None] & (np.arange(len(ranks)) < popped[:, None]) & (n > 0)
+            found[cell[here]] = True
+            again.append(left[i : i + step][~done])
+        left, pops = np.concatenate(again), 4 * pops
+    for q in left.tolist():
+        for i, j in traverse(o1[q].tolist(), a1[q].tolist(), o2[q].tolist(), a2[q].tolist(), counts, enough, least):
+            found[i * width + j] = True
+    return np.flatnonzero(found)
+
+
 def best_of(sim: np.ndarray, m: int, low: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the m highest elements of each row that are at least low, or of more of those."""
-    rows, cols = np.nonzero(sim >= low)
-    if len(rows) <= 4 * m * len(sim):
-        return rows, cols
+    at = np.flatnonzero(sim >= low)
+    if len(at) <= 4 * m * len(sim):
+        return np.divmod(at, sim.shape[1])
     best = np.argpartition(sim, sim.shape[1] - m, axis=1)[:, -m:]
     rows, cols = np.nonzero(np.take_along_axis(sim, best, 1) >= low)
     return rows, best[rows, cols]
@@ -142,19 +190,25 @@ class Search:
         self.flat = counts.ravel()
         self.first = np.cumsum(self.flat, dtype=np.int64) - self.flat  # the row with which a cell begins
         self.lists = Lists(files, starts, dim)
+        self.cand, self.sim = np.empty((BLOCK, dim), np.float32), np.empty(QUERIES * BLOCK, np.float32)  # taken once, as new pages cost time
+        self.full, self.total = np.flatnonzero(self.flat), int(self.flat.sum())
+        self.pops = 1 << max(4, math.ceil(math.log2(1.5 * max(cells, scan / max(1.0, self.flat.mean())))))
 
     def near(self, q: np.ndarray, own: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query, row, similarity) of the best entries of each query, by query and similarity descending; own: the row of the first query."""
         half = self.books[0].shape[1]
-        d1, d2 = (((b * b).sum(1) - 2 * x @ b.T) for b, x in zip(self.books, (q[:, :half], q[:, half:]), strict=True))
-        met = {int(np.searchsorted(self.first, own, "right")) - 1}
-        for o1, a1, o2, a2 in zip(*ascending(d1), *ascending(d2), strict=True):
-            met.update([i * self.counts.shape[1] + j for i, j in traverse(o1, a1, o2, a2, self.counts, self.scan, self.cells)])
+        if self.scan >= self.total:
+            met = self.full
+        else:
+            d1, d2 = (((b * b).sum(1) - 2 * x @ b.T) for b, x in zip(self.books, (q[:, :half], q[:, half:]), strict=True))
+            met = traverse_all(*ascending(d1), *ascending(d2), self.counts, self.scan, self.cells, self.pops)
+            met = np.union1d(met, [np.searchsorted(self.first, own, "right") - 1])
         m = 2 * self.k + 3  # the query itself may be among them
         found: list[tuple] = []
-        for block in self.blocks(sorted(met)):
-            cand = np.concatenate([self.lists.vectors(lo, hi) for lo, hi in block])
-            r, c = best_of(q @ cand.T, min(m, len(cand)), self.low - 1e-5)
+        for block in self.blocks(met):
+            n = sum(hi - lo for lo, hi in block)
+            cand = np.concatenate([self.lists.vectors(lo, hi) for lo, hi in block], out=self.cand[:n])
+            r, c = best_of(np.matmul(q, cand.T, out=self.sim[: len(q) * n].reshape(len(q), n)), min(m, n), self.low - 1e-5)
             if len(r):
                 ends = np.cumsum([hi - lo for lo, hi in block])
                 part = np.searchsorted(ends, c, "right")
@@ -170,11 +224,12 @@ class Search:
         kept = np.arange(len(rows)) - np.searchsorted(rows, rows) < m
         return rows[kept], where[kept], exact[kept]
 
-    def blocks(self, cells: list[int], most: int = 16_384) -> Iterator[list[tuple[int, int]]]:
-        """Ranges of rows that the cells hold, in lists of `most` rows at most."""
+    def blocks(self, cells: np.ndarray, most: int = BLOCK) -> Iterator[list[tuple[int, int]]]:
+        """Ranges of rows that the cells (ascending, none of them empty) hold, in lists of `most` rows at most."""
         block, n = [], 0
-        for cell in cells:
-            lo, hi = int(self.first[cell]), int(self.first[cell] + self.flat[cell])
+        begin, end = self.first[cells], self.first[cells] + self.flat[cells]
+        apart = np.flatnonzero(begin[1:] != end[:-1]) + 1  # lists that follow each other are one range
+        for lo, hi in zip(begin[np.append(0, apart)].tolist(), end[np.append(apart - 1, -1)].tolist(), strict=True):
             while lo < hi:
                 stop = min(hi, lo + most - n)
                 block.append((lo, stop))
@@ -190,13 +245,14 @@ class Search:
         """(id_a, id_b, similarity) of the k nearest of the entries lo to hi."""
         while lo < hi:
             cell = int(np.searchsorted(self.first, lo, "right")) - 1
-            stop = min(hi, lo + 256, int(self.first[cell] + self.flat[cell]))
-            rows, where, exact = (x.tolist() for x in self.near(self.lists.vectors(lo, stop), lo))
+            stop = min(hi, lo + QUERIES, int(self.first[cell] + self.flat[cell]))
+            rows, where, exact = self.near(self.lists.vectors(lo, stop), lo)
+            ids = self.lists.ids(np.append(where, np.arange(lo, stop)))
             near: dict[int, list[tuple[float, str]]] = {}
-            for r, w, s in zip(rows, where, exact, strict=True):
-                near.setdefault(r, []).extend((-s, x) for x in self.lists.ids(w))
+            for r, w, s in zip(rows.tolist(), where.tolist(), exact.tolist(), strict=True):
+                near.setdefault(r, []).extend((-s, x) for x in ids[w])
             for r in range(stop - lo):
-                own, others = self.lists.ids(lo + r), near.get(r, [])
+                own, others = ids[lo + r], near.get(r, [])
                 if len(own) == 1 and not others:
                     continue
                 for a in own[: self.k + 1]:
@@ -210,22 +266,23 @@ def similar_pairs(df: DataFrame, key: str, vector: str, k: int = 5, least: float
     """`id_a`, `id_b` (id_a < id_b), `similarity`: one of the two is among the k most similar others of the other.
 
     Equal similarities go by smaller id; pairs below `least` are left out. scan: entries met by a query at least, in `cells` lists
-    at least, times the fourth root of n / 200,000 if that is more than 1; None meets all, which is exact. cell: mean entries of a cell, up to CODES centroids of a half (170 million vectors); beyond, cells
+    at least, times the fourth root of n / 200,000 if that is more than 1 (n: different vectors); None meets all, which is exact. cell: mean entries of a cell, up to CODES centroids of a half (170 million vectors); beyond, cells
     fill up and `cells` of them are ranked. sample: vectors for the codebooks, 32 for each centroid if that is more. Vectors that are null,
     of another length than `dim` (by default that of the first usable one), all zero, or that hold null, NaN or infinity take no
     part, nor do null keys; a repeated key counts once. Keys are strings or are compared as such. An empty table gives no rows.
     """
     spark = df.sparkSession
     v = df.select(F.col(key).cast("string").alias("id"), F.col(vector).cast("array<float>").alias("vec"))
-    v = v.where("id is not null and size(vec) > 0 and exists(vec, x -> x <> 0) and forall(vec, x -> x is not null and not isnan(x) and abs(x) < float('inf'))")
+    # compiled, as lambdas aren't: NaN is the greatest value, and array_contains is null where an element is
+    v = v.where("id is not null and size(vec) > 0 and array_max(vec) < float('inf') and array_min(vec) > float('-inf') and (array_max(vec) <> 0 or array_min(vec) <> 0) and not array_contains(vec, float('nan'))")
     if dim is None:
         first = v.select(F.size("vec").alias("d")).head()
         dim = first["d"] if first else 2
     v = v.where(F.size("vec") == dim).withColumns({"k1": F.xxhash64("vec"), "k2": F.hash("vec", F.lit(1))})
-    n = df.count()
+    n = v.agg(F.approx_count_distinct("k1", 0.02)).head()[0]  # entries; copies, however many, are one
     size = min(CODES, max(4, round(math.sqrt(n / cell))))
     sample = max(sample, 32 * size)
-    chosen = v.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(max(1, math.ceil(n / sample)))) == 0).select("vec").limit(2 * sample).toArrow()
+    chosen = v.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(max(1, math.ceil(df.count() / sample)))) == 0).select("vec").limit(2 * sample).toArrow()
     if not chosen.num_rows:
         chosen = v.select("vec").limit(sample).toArrow()
     if not chosen.num_rows:

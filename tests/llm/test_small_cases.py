@@ -112,6 +112,50 @@ def test_similar_pairs_of_a_dense_cell_over_files(spark, monkeypatch):
         assert {(r.id_a, r.id_b) for r in neighbors.similar_pairs(df, "id", "vec", 3, scan=None).collect()} == brute_pairs(rows, 3, -2)
 
 
+def test_local_lists_are_opened_once(spark, monkeypatch, tmp_path):
+    """Lists that lie far apart are met again and again; however little may be kept, no file is read a second time."""
+    import pyarrow as pa
+
+    x, files = np.arange(400, dtype=np.float32).reshape(100, 4), []
+    for lo in range(0, 100, 25):
+        t = pa.table({"vec": pa.FixedSizeListArray.from_arrays(pa.array(x[lo : lo + 25].ravel()), 4), "ids": [[str(i)] for i in range(lo, lo + 25)]})
+        files.append(f"file://{tmp_path}/{lo}.arrow")
+        with pa.OSFile(files[-1][7:], "wb") as f, pa.ipc.new_file(f, t.schema) as w:
+            w.write_table(t, max_chunksize=10)
+    monkeypatch.setattr(neighbors, "BATCH", 10)
+    opened, fs = Counter(), neighbors.shared_fs
+    monkeypatch.setattr(neighbors, "shared_fs", lambda uri: opened.update([uri]) or fs(uri))
+    lists = neighbors.Lists(files, np.arange(0, 100, 25), 4, mb=0)
+    for _ in range(3):
+        for lo, hi in ((0, 12), (90, 100), (20, 60)):
+            assert (lists.vectors(lo, hi) == x[lo:hi]).all()
+    assert lists.ids(np.array([99, 3, 30, 3])) == {i: [str(i)] for i in (3, 30, 99)}
+    assert set(opened.values()) == {1} and len(opened) == 4
+
+
+@pytest.mark.parametrize(("shape", "full"), [((40, 30), 0.9), ((40, 30), 0.05), ((300, 280), 0.02), ((2, 3), 0.8)])
+def test_lists_met_are_those_of_the_heap(shape, full):
+    """Of many queries at once, where lists are dense or few, as one heap a query meets them."""
+    rng = np.random.default_rng(8)
+    counts = (rng.integers(1, 60, shape) * (rng.random(shape) < full)).astype(np.int32)
+    d1, d2 = rng.random((25, shape[0])), rng.random((25, shape[1])) ** 2
+    for enough, least in ((1, 1), (300, 5), (10**9 if shape[0] < 300 else 9000, 1)):
+        want = {i * shape[1] + j for o1, a1, o2, a2 in zip(*neighbors.ascending(d1), *neighbors.ascending(d2), strict=True) for i, j in neighbors.traverse(o1.tolist(), a1.tolist(), o2.tolist(), a2.tolist(), counts, enough, least)}
+        assert neighbors.traverse_all(*neighbors.ascending(d1), *neighbors.ascending(d2), counts, enough, least, 16).tolist() == sorted(want)
+
+
+def test_similar_pairs_size_by_different_vectors(spark, monkeypatch):
+    """Copies under other ids don't make more centroids: cells would be empty, and traversals long."""
+    rng = np.random.default_rng(6)
+    rows = [(f"k{i:03d}", rng.standard_normal(8).astype(np.float32).tolist()) for i in range(100)]
+    copies = [(f"{i}/{c}", v) for i, v in rows for c in range(40)]
+    sizes, kmeans = [], neighbors.kmeans
+    monkeypatch.setattr(neighbors, "kmeans", lambda x, k: sizes.append(k) or kmeans(x, k))
+    df = spark.createDataFrame(copies, "id string, vec array<float>")
+    assert {(r.id_a, r.id_b) for r in neighbors.similar_pairs(df, "id", "vec", 3, 0.9, scan=None, cell=4).collect()} == brute_pairs(copies, 3, 0.9)
+    assert set(sizes) == {5}
+
+
 # --- frequencies
 
 
