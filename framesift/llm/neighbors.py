@@ -116,7 +116,9 @@ class Lists:
         while i < len(rows):
             first, vec, ids = self.batch(int(rows[i]))
             j = int(np.searchsorted(rows, first + len(vec)))
-            out.update(zip(rows[i:j].tolist(), ids.take(pa.array(rows[i:j] - first)).to_pylist(), strict=True))
+            here = ids.take(pa.array(rows[i:j] - first))
+            names, ends = here.flatten().to_pylist(), np.cumsum(here.value_lengths().to_numpy()).tolist()
+            out.update((row, names[lo:hi]) for row, lo, hi in zip(rows[i:j].tolist(), [0, *ends[:-1]], ends, strict=True))
             i = j
         return out
 
@@ -155,10 +157,10 @@ def traverse_all(o1: np.ndarray, a1: np.ndarray, o2: np.ndarray, a2: np.ndarray,
         ra, rb = np.array(ranks).T
         step, again = max(1, 2_000_000 // len(ranks)), []
         for i in range(0, len(left), step):
-            q = left[i : i + step, None]
-            order = np.argsort(a1[q, ra] + a2[q, rb], axis=1)
-            cell = o1[q, ra[order]] * width + o2[q, rb[order]]
-            n = counts.ravel()[cell]
+            q = left[i : i + step]
+            order = np.argsort(a1[q].take(ra, axis=1) + a2[q].take(rb, axis=1), axis=1)
+            cell = np.take_along_axis(o1[q].take(ra, axis=1) * width + o2[q].take(rb, axis=1), order, 1)
+            n = counts.take(cell)
             short = (np.cumsum(n, axis=1) < enough) | (np.cumsum(n > 0, axis=1) < least)
             popped = short.sum(1) + 1
             done = (popped <= pops) | (len(ranks) == counts.size)  # all pairs there are
@@ -173,10 +175,11 @@ def traverse_all(o1: np.ndarray, a1: np.ndarray, o2: np.ndarray, a2: np.ndarray,
 
 
 def best_of(sim: np.ndarray, m: int, low: float) -> tuple[np.ndarray, np.ndarray]:
-    """(row, column) of the m highest elements of each row that are at least low, or of more of those."""
+    """(column, row) of the m highest elements of each column that are at least low, or of more of those."""
     at = np.flatnonzero(sim >= low)
-    if len(at) <= 4 * m * len(sim):
-        return np.divmod(at, sim.shape[1])
+    if len(at) <= 4 * m * sim.shape[1]:
+        return np.divmod(at, sim.shape[1])[::-1]
+    sim = np.ascontiguousarray(sim.T)
     best = np.argpartition(sim, sim.shape[1] - m, axis=1)[:, -m:]
     rows, cols = np.nonzero(np.take_along_axis(sim, best, 1) >= low)
     return rows, best[rows, cols]
@@ -208,7 +211,7 @@ class Search:
         for block in self.blocks(met):
             n = sum(hi - lo for lo, hi in block)
             cand = np.concatenate([self.lists.vectors(lo, hi) for lo, hi in block], out=self.cand[:n])
-            r, c = best_of(np.matmul(q, cand.T, out=self.sim[: len(q) * n].reshape(len(q), n)), min(m, n), self.low - 1e-5)
+            r, c = best_of(np.matmul(cand, q.T, out=self.sim[: len(q) * n].reshape(n, len(q))), min(m, n), self.low - 1e-5)
             if len(r):
                 ends = np.cumsum([hi - lo for lo, hi in block])
                 part = np.searchsorted(ends, c, "right")
